@@ -52,13 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null rows have no bytes."""
+    """(bytes, offsets) of a string or binary column; null rows have no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if binary else "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -131,22 +131,30 @@ def byte_values(data: np.ndarray, which: int) -> np.ndarray:
     return _BYTE[which][data]
 
 
+_BLOCK_BITS = 21
+
+
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     """Index of the leftmost smallest of every ``width`` consecutive keys.
 
-    The keys' low bits give way to the position, so that one minimum carries
-    its index; ties of the remaining high bits go to the leftmost.
+    Keys compare by their high bits; the low bits, of a fixed number, give way
+    to the position inside a block, so that one minimum carries its index and
+    equal windows choose the same place wherever they stand.
     """
     n = len(keys) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    bits = max(1, int(len(keys)).bit_length())
-    low = U((1 << bits) - 1)
-    best = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
-    span = 1
-    while 2 * span <= width:
-        best = np.minimum(best[: len(best) - span], best[span:])
-        span *= 2
-    if span < width:
-        best = np.minimum(best[:n], best[width - span : width - span + n])
-    return (best[:n] & low).astype(np.int64)
+    out = np.empty(max(n, 0), dtype=np.int64)
+    low = U((1 << _BLOCK_BITS) - 1)
+    step = (1 << _BLOCK_BITS) - width
+    place = np.arange(min(len(keys), 1 << _BLOCK_BITS), dtype=np.uint64)
+    for at in range(0, n, step):
+        part = keys[at : at + step + width - 1]
+        best = (part & ~low) | place[: len(part)]
+        span = 1
+        while 2 * span <= width:
+            best = np.minimum(best[: len(best) - span], best[span:])
+            span *= 2
+        m = len(part) - width + 1
+        if span < width:
+            best = np.minimum(best[:m], best[width - span : width - span + m])
+        out[at : at + m] = (best[:m] & low).astype(np.int64) + at
+    return out
