@@ -8,9 +8,10 @@ and the xor of their checksums.  Subtracting two texts' cells cancels what
 they share; peeling then recovers the digests in which they differ, and
 likeness = shared / (shared + differing).
 
-The table written as ``fingerprint`` has one block of cells.  If peeling it
-fails, larger tables are made of both texts, in blocks that digests are dealt
-to, until it succeeds; blocks keep the work in proportion to the paragraphs.
+The table written as ``fingerprint`` has a fixed number of cells.  If peeling
+it fails, larger tables are made of both texts until it succeeds.  Cells are
+rows and peeling is grouped sums over them, so a long document's table is
+never handled as one value.
 
 Defined cases: a null text counts as an empty one, which has one empty
 paragraph; equal texts have equal fingerprints and likeness 1; the document
@@ -21,6 +22,8 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +32,10 @@ from . import shared
 PIECE = 100
 THIRD = 6
 CELLS = 3 * THIRD
-#: Digests for each block of the larger tables, tried in this order.
-LOADS = (8, 4, 2, 1)
-ROUNDS = 12
+#: Cells for each digest in the larger tables, tried in this order.
+LOADS = (1.8, 4.0, 12.0)
+SWEEPS = 5
+FIRST_SWEEPS = 3
 #: Rows for each range of ids, and the most ranges: what the driver holds is their bounds.
 ROWS_PER_RANGE = 1024
 MOST_RANGES = 8192
@@ -52,7 +56,7 @@ def _entries(keys: str) -> str:
 
 
 def _cells(entries: str) -> str:
-    """The table of one block."""
+    """The table of the given entries."""
     into = "named_struct('n', a.n + 1, 'k', a.k ^ e.k, 'c', a.c ^ e.c)"
     return f"transform(sequence(0, {CELLS - 1}), i -> aggregate(filter({entries}, e -> e.i0 = i or e.i1 = i or e.i2 = i), {_EMPTY_CELL}, (a, e) -> {into}))"
 
@@ -61,41 +65,82 @@ def _subtracted(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
-def _peeled(cells: str) -> str:
-    """Number of digests recovered, or null if cells remain."""
-    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k, 97)), x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, " + ", ".join(f"'i{t}', cast({t * THIRD} + pmod(xxhash64(x.k, {t + 1}), {THIRD}) as int)" for t in range(3)) + ")))"
-    less = "transform(s.cells, (x, i) -> aggregate(filter(s.pure, e -> e.i0 = i or e.i1 = i or e.i2 = i), x, (a, e) -> named_struct('n', a.n - e.n, 'k', a.k ^ e.k, 'c', a.c ^ e.c)))"
-    state = f"named_struct('cells', {cells}, 'found', 0)"
-    # One round: find the cells that hold a single digest, and take it out of its three cells.
-    step = f"aggregate(array(named_struct('cells', s.cells, 'pure', {pure})), s, (o, s) -> if(size(s.pure) = 0, o, named_struct('cells', {less}, 'found', o.found + size(s.pure))))"
-    clean = "forall(z.cells, x -> x.n = 0 and x.k = 0 and x.c = 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), {state}, (s, r) -> if(forall(s.cells, x -> x.n = 0 and x.k = 0), s, {step}), z -> if({clean}, z.found, cast(null as int)))"
+def _place(t: int, key: Column, third: Column) -> Column:
+    return (F.lit(t) * third + F.pmod(F.xxhash64(key, F.lit(t + 1)), third)).cast("int")
+
+
+def _empty() -> Column:
+    return (F.col("n") == 0) & (F.col("k") == 0) & (F.col("c") == 0)
+
 
+def _sweep_sql(view: str, sweeps: int) -> str:
+    """The steps of :func:`_peel` as one statement, which is analysed once."""
+    steps, before = [], view
+    for number, t in enumerate([0, 1, 2] * sweeps):
+        single = f"cell >= {t} * third and cell < {t + 1} * third and abs(n) = 1 and c = xxhash64(k, 97)"
+        out = ", ".join(f"struct(cast({u} * third + pmod(xxhash64(k, {u + 1}), third) as int) as cell, -n as n, k as k, c as c)" for u in range(3) if u != t)
+        spread = f"if({single}, array(struct(-1 as cell, 1L as n, 0L as k, 0L as c), {out}), array(struct(cell as cell, n as n, k as k, c as c)))"
+        each = f"select uid, pair, third, inline({spread}) from {before}"
+        steps.append(f"s{number} as (select uid, pair, third, cell, sum(n) as n, bit_xor(k) as k, bit_xor(c) as c from ({each}) group by uid, pair, third, cell having not (sum(n) = 0 and bit_xor(k) = 0 and bit_xor(c) = 0))")
+        before = f"s{number}"
+    found = "case when count_if(cell >= 0) = 0 then coalesce(sum(n) filter (where cell < 0), 0L) end"
+    return f"with {', '.join(steps)} select uid, pair, {found} as found from {before} group by uid, pair"
+
+
+def _peel(cells: DataFrame, sweeps: int) -> DataFrame:
+    """(uid, pair, found): digests recovered from each pair's cells(uid, pair,
+    third, cell, n, k, c); null where cells remain.
+
+    A sweep goes through the thirds.  The cells of one third that hold a
+    single digest hold different ones; each is taken out of the other thirds,
+    and counted in the pair's cell -1.  All grouping is by pair and cell, so
+    the steps follow each other without another shuffle.
+    """
+    view = f"cells_{uuid.uuid4().hex}"
+    cells.createOrReplaceTempView(view)
+    try:
+        return cells.sparkSession.sql(_sweep_sql(view, sweeps))
+    finally:
+        cells.sparkSession.catalog.dropTempView(view)
 
-def _difference(left: str, right: str, left_cells: str, right_cells: str) -> Column:
-    """Number of digests in one text but not the other."""
-    tries = [_peeled(_subtracted(left_cells, right_cells))]
+
+def _tables(pairs: DataFrame, load: float) -> DataFrame:
+    """Subtracted cells of larger tables, ``load`` cells for each digest of the two."""
+    third = F.ceil((F.size("own") + F.size("other")) * F.lit(load / 3)).cast("int") + 4
+    signed = F.concat(F.transform("own", lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))), F.transform("other", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("n"))))
+    rows = pairs.select("uid", "pair", third.alias("third"), F.inline(signed)).withColumn("c", F.xxhash64("k", F.lit(97)))
+    rows = rows.select("uid", "pair", "third", "n", "k", "c", F.explode(F.array(*[_place(t, F.col("k"), F.col("third")) for t in range(3)])).alias("cell"))
+    return rows.groupBy("uid", "pair", "third", "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where(~_empty())
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """(uid, pair, d): number of digests in one text of a pair but not the other.
+
+    ``pairs(uid, pair, own, other, cells)`` has both digest sets and the subtracted
+    cells of the two fingerprints.  Those that hold no single digest, or don't
+    peel, are tried again with larger tables.
+    """
+    hopeful = F.exists("cells", lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"], F.lit(97))))
+    same = F.forall("cells", lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0))
+    known = pairs.where(same).select("uid", "pair", F.lit(0).cast("long").alias("d"))
+    first = pairs.where(hopeful).select("uid", "pair", F.lit(THIRD).alias("third"), F.posexplode("cells").alias("cell", "x")).select("uid", "pair", "third", "cell", F.col("x.n").cast("long").alias("n"), "x.k", "x.c").where(~_empty())
+    solved = shared.written(_peel(first.repartition("uid"), FIRST_SWEEPS).where("found is not null").select("uid", "pair", F.col("found").alias("d")).unionAll(known), "peeled")
+    rest = pairs.select("uid", "pair", "own", "other").join(solved, ["uid", "pair"], "left_anti")
     for load in LOADS:
-        blocks = f"greatest(1, cast(ceil((size({left}) + size({right})) / {load}) as int))"
-        own = [_cells(_entries(f"filter({k}, q -> pmod(shiftrightunsigned(q, 20), {blocks}) = b)")) for k in (left, right)]
-        tries.append(f"aggregate(sequence(0, {blocks} - 1), 0, (d, b) -> if(d is null, d, d + {_peeled(_subtracted(*own))}))")
-    # Only digests with equal cells in every table are left: count them directly.
-    tries.append(f"size(array_except({left}, {right})) + size(array_except({right}, {left}))")
-    return F.expr(f"coalesce({', '.join(tries)})")
+        peeled = _peel(_tables(rest.repartition("uid"), load), SWEEPS)
+        got = shared.written(peeled.where("found is not null").select("uid", "pair", F.col("found").alias("d")), "peeled")
+        solved, rest = solved.unionAll(got), rest.join(got, ["uid", "pair"], "left_anti")
+    # Digests that no table could part: compared directly.
+    plain = (F.size(F.array_except("own", "other")) + F.size(F.array_except("other", "own"))).cast("long")
+    return solved.unionAll(rest.select("uid", "pair", plain.alias("d")))
 
 
 def _written_cells(cells: str) -> Column:
     return F.expr(f"array_join(transform({cells}, x -> concat(lower(hex(x.n)), '.', lpad(lower(hex(x.k)), 16, '0'), '.', lpad(lower(hex(x.c)), 16, '0'))), ':')")
 
 
-def _likeness(left: str, right: str, difference: str) -> Column:
-    total = F.size(left) + F.size(right)
-    shared_by = (total - F.col(difference)) / F.lit(2)
-    return (shared_by / (shared_by + F.col(difference))).cast("double")
-
-
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs(doc_id, key, ...)`` with ``next_<c>`` of the following row, for c in ``columns``.
+    """``docs(doc_id, key, ...)`` with a row number ``uid`` and ``next_<c>`` of the following row.
 
     Rows are dealt to ranges of ids, whose bounds are quantiles; the first row
     of each range also stands, as a ghost, at the end of the range before it,
@@ -125,21 +170,31 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         stands = F.when(ghost.isNotNull(), F.concat(stands, F.array(F.struct(ghost.alias("range"), F.lit(True).alias("ghost"))))).otherwise(stands)
     spread = placed.withColumn("stand", F.explode(stands)).withColumns({"range": F.col("stand.range"), "ghost": F.col("stand.ghost")}).drop("stand")
     following = "partition by range order by ghost, doc_id nulls last, key"
-    out = spread.selectExpr("*", *[f"lead({c}) over ({following}) as next_{c}" for c in columns])
+    out = spread.selectExpr("*", f"shiftleft(cast(range as bigint), 40) + row_number() over ({following}) as uid", *[f"lead({c}) over ({following}) as next_{c}" for c in columns])
     return out.where("not ghost").drop("ghost", "range")
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, d_edited, d_next)."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_edited: bool = False) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, d_edited, d_next (differing digests), and on request the edited text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), shared.text_key(text).alias("key")).withColumn("own", digests(F.col("text")))
     rows = with_next(rows, ["text", "own"])
     size = F.length("text")
     cut = F.floor(size / 4).cast("int")
-    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"), "own", "next_own")
-    rows = rows.withColumn("after", digests(F.col("edited")))
-    rows = rows.select("*", *[F.expr(_cells(_entries(c))).alias(f"{c}_cells") for c in ("own", "after", "next_own")])
-    rows = rows.withColumns({"d_edited": _difference("own", "after", "own_cells", "after_cells"), "d_next": _difference("own", "next_own", "own_cells", "next_own_cells")})
-    return rows.select(
-        "doc_id", "n_chars", "edited", _written_cells("own_cells").alias("fingerprint"), _written_cells("after_cells").alias("edited_fingerprint"),
-        _likeness("own", "after", "d_edited").alias("near_edited"), _likeness("own", "next_own", "d_next").alias("near_next"), "d_edited", "d_next",
+    rows = rows.select("uid", "doc_id", size.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"), "own", "next_own")
+    rows = rows.select("uid", "doc_id", "n_chars", *(["edited"] if keep_edited else []), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next_own", digests(F.col("edited")).alias("after"))
+    rows = shared.written(rows, "texts")
+    full = rows.select("*", *[F.expr(_cells(_entries(c))).alias(f"{c}_cells") for c in ("own", "after", "next_own")])
+    sides = F.array(*[F.struct(F.lit(p).alias("pair"), F.col(c).alias("other"), F.expr(_subtracted("own_cells", f"{c}_cells")).alias("cells")) for p, c in enumerate(("after", "next_own"))])
+    d = differences(shared.written(full.select("uid", "own", F.inline(sides)).select("uid", "pair", "own", "other", "cells"), "pairs"))
+    d = d.groupBy("uid").agg(*[F.max(F.when(F.col("pair") == p, F.col("d"))).alias(name) for p, name in enumerate(("d_edited", "d_next"))])
+    out = rows.select("*", *[_written_cells(_cells(_entries(c))).alias(name) for c, name in (("own", "fingerprint"), ("after", "edited_fingerprint"))]).join(d, "uid")
+
+    def likeness(other: str, differing: str) -> Column:
+        common = (F.size("own") + F.size(other) - F.col(differing)) / F.lit(2)
+        return (common / (common + F.col(differing))).cast("double")
+
+    return out.select(
+        "doc_id", "n_chars", *(["edited"] if keep_edited else []), "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("after", "d_edited").alias("near_edited"), likeness("next_own", "d_next").alias("near_next"), "d_edited", "d_next",
     )

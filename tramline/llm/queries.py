@@ -62,7 +62,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     out = fingerprint.fingerprints(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
