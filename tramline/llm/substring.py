@@ -8,8 +8,9 @@ input.  Words are runs of bytes other than space and 0x09-0x0D.
    that the sketch calls unique are certainly unique.
 2. The remaining windows are kept as runs, cut by content.  Runs are grouped
    exactly by 128-bit hash: all but those of the smallest document go.
-3. In the first holders' runs, windows are grouped exactly, one by one, which
-   finds repeats across runs that differ.
+3. The first holders' runs are sketched again; their windows whose anchor may
+   stand in two of them are grouped exactly, one by one, which finds repeats
+   across runs that differ.
 4. Covered windows return to their documents and the words are cut out.
 
 Grouped minima are pre-aggregated and joined back by key, so a passage that a
@@ -47,7 +48,7 @@ def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return textnum.word_hashes(data, start, end), first
 
 
-def _two_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+def _two_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     return [textnum.prefix(textnum.word_hashes(data, start, end, which), which) for which in (0, 1)]
 
 
@@ -85,8 +86,10 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     found = shared.written(rows.mapInArrow(runs, _RUNS), "runs")
     holder = found.groupBy("c1", "c2").agg(F.min("id").alias("holder"))
-    held = found.join(holder, ["c1", "c2"])
-    later = held.where("id > holder").select("id", "key", "at", "n")
+    later = found.select("c1", "c2", "id", "key", "at", "n").join(holder, ["c1", "c2"]).where("id > holder").select("id", "key", "at", "n")
+    own = shared.written(found.join(holder, ["c1", "c2"]).where("id = holder").select("id", "key", "at", "body"), "holders")
+    bits = windows.sketch_bits(windows.total_bytes(own, "body") / 5, 2 / (width - gram + 2), 8)
+    again = spark.sparkContext.broadcast(windows.repeated_cells(own.select("body"), _split, width, gram, bits))
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,19 +97,18 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             for a, b in textnum.pieces(offsets):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 start, end, first = textnum.words(d, o)
-                n = np.diff(first) - width + 1
-                owner = np.repeat(np.arange(b - a), n)
-                step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                lo = first[owner] + step
-                h = [textnum.spans_hash(s, lo, lo + width, w).view(np.int64) for w, s in enumerate(_two_hashes(d, start, end))]
+                p = windows.anchored(textnum.word_hashes(d, start, end), first, width, gram)
+                head = np.flatnonzero(windows.changes(p))
+                kept = np.repeat(windows.maybe_repeated(again.value, p.anchor[head]), np.diff(np.r_[head, len(p.at)]))
+                lo, owner = p.at[kept], p.owner[kept]
+                h = [textnum.spans_hash(s, lo, lo + width, w).view(np.int64) for w, s in enumerate(_two_sums(d, start, end))]
                 take = pa.array(owner + a)
-                at = batch["at"].take(take).to_numpy() + step
+                at = batch["at"].take(take).to_numpy() + lo - first[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), batch["id"].take(take), batch["key"].take(take), pa.array(at.astype(np.int32))], ["h1", "h2", "id", "key", "at"])
 
-    each = held.where("id = holder").select("id", "key", "at", "body").mapInArrow(singles, _WINDOWS)
-    each = shared.written(each, "windows")
-    shared_by = each.groupBy("h1", "h2").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("last > holder").select("h1", "h2", "holder")
-    apart = each.join(shared_by, ["h1", "h2"]).where("id > holder").select("id", "key", "at", F.lit(1).alias("n"))
+    each = shared.written(own.mapInArrow(singles, _WINDOWS), "windows")
+    twice = each.groupBy("h1", "h2").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("last > holder").select("h1", "h2", "holder")
+    apart = each.join(twice, ["h1", "h2"]).where("id > holder").select("id", "key", "at", F.lit(1).alias("n"))
     return later.unionAll(apart)
 
 
