@@ -24,7 +24,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, dtype=np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = key
     done = 8
     rank = np.empty(n, dtype=np.int64)
@@ -36,7 +36,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         after = np.zeros(n, dtype=np.int64)
         after[: max(n - done, 0)] = rank[done:] + 1
         pair = rank * np.int64(n + 1) + after
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         ordered = pair[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])

@@ -38,7 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_release, spark)
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`written` once all that was made of it is written too."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.remove(df.written_path)
 
 
 def _release(spark: SparkSession) -> None:

@@ -8,8 +8,8 @@ documents.
    strings.  What is left stands in runs that are cut by content.
 2. Runs are grouped exactly by 128-bit hash: all but those of the smallest
    document go.
-3. The distinct runs are sketched again; strings whose anchor may
-   stand in two different runs are dealt to blocks by anchor.  In each block a
+3. The first holders' runs are sketched again; strings whose anchor may
+   stand in two of them are dealt to blocks by anchor.  In each block a
    Burrows-Wheeler transform and threshold-bounded interval expansion
    (``bwt``) put equal strings into classes, and the smallest document of a
    class keeps it.
@@ -36,15 +36,15 @@ from . import bwt, shared, textnum, windows
 
 WIDTH = 50
 CUT_EVERY = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 HOT = 2000
 _RUNS = "c1 long, c2 long, id long, key long, at int, n int, body binary"
-_SEGMENTS = "anchor long, c1 long, c2 long, holder long, at int, body binary"
-_FOUND = "hot boolean, h1 long, h2 long, c1 long, c2 long, holder long, at int, n int"
+_SEGMENTS = "anchor long, id long, key long, at int, body binary"
+_FOUND = "hot boolean, h1 long, h2 long, id long, key long, at int, n int"
 
 
 def _gram(width: int) -> int:
-    return max(1, width * 3 // 5)
+    return max(1, width // 2)
 
 
 def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +85,12 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 )
 
     found = shared.written(rows.mapInArrow(runs, _RUNS), "runs")
+    sketch.destroy()
     holder = found.groupBy("c1", "c2").agg(F.min("id").alias("holder"))
-    held = shared.written(found.join(holder, ["c1", "c2"]), "held")
-    later = held.where("id > holder").select("id", "key", "at", "n")
-    distinct = held.where("id = holder").dropDuplicates(["c1", "c2"]).select("c1", "c2", "holder", "body")
-    distinct = shared.written(distinct, "distinct-runs")
-    again = context.broadcast(windows.repeated_cells(distinct.select("body"), _split, width, gram, windows.sketch_bits(windows.total_bytes(distinct, "body"), per_unit, 8)))
+    later = shared.written(found.select("c1", "c2", "id", "key", "at", "n").join(holder, ["c1", "c2"]).where("id > holder").select("id", "key", "at", "n"), "later")
+    own = shared.written(found.join(holder, ["c1", "c2"]).where("id = holder").select("id", "key", "at", "body"), "holders")
+    shared.discard(found)
+    again = context.broadcast(windows.repeated_cells(own.select("body"), _split, width, gram, windows.sketch_bits(windows.total_bytes(own, "body"), per_unit, 6)))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,51 +108,64 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 lo, hi = p.at[head], p.at[tail - 1] + width
                 take = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.anchor[head].view(np.int64)), batch["c1"].take(take), batch["c2"].take(take), batch["holder"].take(take), pa.array((lo - o[owner]).astype(np.int32)), _slices(d, lo, hi)],
-                    ["anchor", "c1", "c2", "holder", "at", "body"],
+                    [pa.array(p.anchor[head].view(np.int64)), batch["id"].take(take), batch["key"].take(take), pa.array((batch["at"].take(take).to_numpy() + lo - o[owner]).astype(np.int32)), _slices(d, lo, hi)],
+                    ["anchor", "id", "key", "at", "body"],
                 )
 
-    parts = shared.written(distinct.mapInArrow(segments, _SEGMENTS), "segments")
-    size = parts.agg(F.sum(F.octet_length("body") + 1).cast("long")).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    crowd = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    dealt = parts.join(crowd, "anchor").withColumn("deals", F.ceil(F.col("crowd") / HOT))
-    dealt = dealt.withColumn("hot", F.col("deals") > 1).withColumn("block", F.pmod(F.xxhash64("anchor", F.when(F.col("hot"), F.pmod(F.xxhash64("c1", "c2"), "deals"))), F.lit(blocks)))
+    # Only the few crowded anchors are looked up; a lookup table is at most 1 / HOT of the segments.
+    parts = own.mapInArrow(segments, _SEGMENTS)
+    crowded = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"), F.sum(F.octet_length("body") + 1).alias("bytes"))
+    crowded = shared.written(crowded.where("crowd > 1"), "crowds")
+    blocks = max(1, -(-(crowded.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
+    hot = crowded.where(F.col("crowd") > HOT).select("anchor", F.ceil(F.col("crowd") / HOT).alias("deals"))
+    dealt = parts.join(hot, "anchor", "left").withColumn("hot", F.col("deals").isNotNull())
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("anchor", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "at"), "deals"))), F.lit(blocks)))
 
     def block(table: pa.Table) -> pa.Table:
-        body = [v.as_buffer().to_pybytes() for v in table["body"]]
-        hot, c1, c2, holder, at = (table[c].to_numpy() for c in ("hot", "c1", "c2", "holder", "at"))
+        hot, holder, key, at = (table[c].to_numpy() for c in ("hot", "id", "key", "at"))
+        # Equal segments stand in the transform once, for the smallest document that has them.
+        number: dict[bytes, int] = {}
+        own = np.array([number.setdefault(v.as_buffer().to_pybytes(), len(number)) for v in table["body"]], dtype=np.int64)
+        body = list(number)
+        least = np.full(len(body), np.iinfo(np.int64).max)
+        np.minimum.at(least, own, holder)
         segment, offset, kind = bwt.equal_windows(body, width)
         head = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
-        low = np.repeat(np.minimum.reduceat(holder[segment], head), np.diff(np.r_[head, len(kind)])) if len(head) else np.zeros(0, np.int64)
+        low = np.repeat(np.minimum.reduceat(least[segment], head), np.diff(np.r_[head, len(kind)])) if len(head) else np.zeros(0, np.int64)
+        # Back to the strings of every segment, in order.
+        count = np.array([len(x) - width + 1 for x in body], dtype=np.int64)
+        base = np.cumsum(count) - count
+        lowest = np.empty(len(low), dtype=np.int64)
+        lowest[base[segment] + offset] = low
+        s = np.repeat(np.arange(len(own)), count[own])
+        o = np.arange(len(s)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+        string = base[own[s]] + o
         # Classes are complete unless their anchor was dealt to several blocks.
-        done = (low < holder[segment]) & ~hot[segment]
-        order = np.lexsort((offset[done], segment[done]))
-        s, o = segment[done][order], offset[done][order]
+        done = (lowest[string] < holder[s]) & ~hot[s]
+        more = hot[s]
+        hs, ho = s[more], o[more]
+        s, o = s[done], o[done]
         first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1)]) if len(s) else np.zeros(0, np.int64)
         run = np.diff(np.r_[first, len(s)])
         s, o = s[first], o[first]
-        more = np.flatnonzero(hot[segment])
-        hs, ho = segment[more], offset[more]
         joined = np.frombuffer(b"".join(body), np.uint8)
-        base = np.r_[0, np.cumsum([len(x) for x in body])].astype(np.int64)
-        lo = base[hs] + ho
+        lo = (base + np.arange(len(body)) * (width - 1))[own[hs]] + ho
         h = [textnum.spans_hash(textnum.prefix(textnum.byte_values(joined, w), w), lo, lo + width, w).view(np.int64) for w in (0, 1)]
         z = np.zeros(len(s), np.int64)
         return pa.table(
             {
-                "hot": np.r_[np.zeros(len(s), bool), np.ones(len(hs), bool)], "h1": np.r_[z, h[0]], "h2": np.r_[z, h[1]], "c1": c1[np.r_[s, hs]], "c2": c2[np.r_[s, hs]], "holder": holder[np.r_[s, hs]],
+                "hot": np.r_[np.zeros(len(s), bool), np.ones(len(hs), bool)], "h1": np.r_[z, h[0]], "h2": np.r_[z, h[1]], "id": holder[np.r_[s, hs]], "key": key[np.r_[s, hs]],
                 "at": (at[np.r_[s, hs]] + np.r_[o, ho]).astype(np.int32), "n": np.r_[run, np.ones(len(hs), np.int64)].astype(np.int32),
             }
         )
 
-    classed = shared.written(dealt.select("block", "hot", "c1", "c2", "holder", "at", "body").groupBy("block").applyInArrow(block, _FOUND), "classes")
-    hot = classed.where("hot")
-    lowest = hot.groupBy("h1", "h2").agg(F.min("holder").alias("low"))
-    late = hot.join(lowest, ["h1", "h2"]).where("holder > low").select("c1", "c2", F.col("at").alias("off"), "n")
-    inner = classed.where("not hot").select("c1", "c2", F.col("at").alias("off"), "n").unionAll(late)
-    first = held.where("id = holder").select("c1", "c2", "id", "key", "at").join(inner, ["c1", "c2"]).select("id", "key", (F.col("at") + F.col("off")).alias("at"), "n")
-    return later.unionAll(first)
+    classed = shared.written(dealt.select("block", "hot", "id", "key", "at", "body").groupBy("block").applyInArrow(block, _FOUND), "classes")
+    again.destroy()
+    shared.discard(own)
+    open_ = classed.where("hot")
+    lowest = open_.groupBy("h1", "h2").agg(F.min("id").alias("low"))
+    late = open_.join(lowest, ["h1", "h2"]).where("id > low").select("id", "key", "at", "n")
+    return later.unionAll(classed.where("not hot").select("id", "key", "at", "n")).unionAll(late)
 
 
 def _cut(text: pa.Array, runs: pa.Array, width: int) -> pa.Array:

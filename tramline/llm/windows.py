@@ -70,7 +70,7 @@ def _cells(anchor: np.ndarray, row: int, bits: int) -> np.ndarray:
 def sketch_bits(units: float, per_unit: float, room: float) -> int:
     """Width so that ``room`` cells stand for each expected anchor, within bounds."""
     want = max(1.0, units * per_unit * room)
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(want)))))
+    return int(min(MAX_BITS, max(MIN_BITS, np.round(np.log2(want)))))
 
 
 Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
