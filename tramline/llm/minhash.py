@@ -11,9 +11,10 @@ probability equal to the texts' weighted Jaccard similarity.
 
 Signatures are banded; equal texts stand in one class from the start.  In each
 bucket every member is held against the bucket's smallest member and then its
-largest, verified by the exact multiset overlap; after that only members of a bucket that
-are still in different components are held against each other, so that no
-link between components is lost and copies never make all pairs.
+largest, verified by the exact multiset overlap.  Members of a bucket that are
+still in different components after that meet by their rarest shingles, which
+two texts at the similarity must share, so that no link between components is
+lost and neither copies nor common lines make all pairs.
 
 Defined cases: a null or empty text, or one without words, is alone; rows with
 equal ids are one document; ties go to the smallest id; a row with a null id
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, shared, textnum
@@ -143,6 +144,34 @@ def _verified(similarity: float):  # noqa: ANN202
     return check
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["bag"]]
+        size = np.array([len(x) for x in bags], dtype=np.int64)
+        take = pa.array(np.repeat(np.arange(len(bags)), size))
+        yield pa.RecordBatch.from_arrays([batch["rep"].take(take), batch["part"].take(take), pa.array(np.repeat(size, size)), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["rep", "part", "size", "member"])
+
+
+def _rare_pairs(apart: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of texts in different components that can reach the similarity.
+
+    With members ordered by rarity, two texts that reach it share one of their
+    first ``size - ceil(similarity * size) + 1`` members: texts that only share
+    common lines meet nowhere, so a crowded bucket makes no pairs of them.
+    """
+    rows = apart.join(bags, "rep").select("rep", "part", "bag").mapInArrow(_members, "rep long, part long, size long, member long")
+    rows = shared.written(rows, "bag-members")
+    often = rows.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("rep").orderBy("n", "member")
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    rare = rows.join(often, "member").withColumn("k", F.row_number().over(order)).where((F.col("k") <= first) & (F.col("n") > 1)).select("rep", "part", "size", "member")
+    rare = shared.written(rare, "rare-members")
+    other = rare.select(F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"), "member")
+    met = rare.withColumnRenamed("rep", "a").join(other, "member").where("a < b and part <> part_b")
+    fits = (F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-9)
+    return met.where(fits).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, key, class_id) for every distinct pair of id and text hash."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), shared.text_key(text).alias("key"), F.col(text).alias("text"))
@@ -171,10 +200,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     # What is left: members of one bucket in different components, not yet compared.
     placed = keys.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *bucket, F.coalesce("component", "rep").alias("part"))
     split = placed.groupBy(*bucket).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(*bucket)
-    placed = shared.written(placed.join(split, bucket), "split-buckets")
-    other = placed.select(*bucket, F.col("rep").alias("b"), F.col("part").alias("part_b"))
-    rest = placed.withColumnRenamed("rep", "a").join(other, bucket).where("a < b and part <> part_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = shared.written(verified(rest), "more-links")
+    apart = placed.join(split, bucket, "left_semi").select("rep", "part").distinct()
+    more = shared.written(verified(_rare_pairs(apart, bags, similarity).join(star, ["a", "b"], "left_anti")), "more-links")
     parts = components.connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     placed_members = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", "key", F.coalesce("component", "rep").alias("class_id"))
     return placed_members.distinct()
