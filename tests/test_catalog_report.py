@@ -72,6 +72,7 @@ def test_client(spark, tmp_path):
         catalog.Client("https://api", None, server).token()
 
 
+@pytest.mark.slow
 def test_fetch(spark, tmp_path):
     path = feeds.write(tmp_path / "src.zip", feeds.clean())
     data = open(path, "rb").read()
@@ -84,6 +85,7 @@ def test_fetch(spark, tmp_path):
         fetch.fetch(spark, client, (0, 0, 1, 1), modes=["rocket"])
 
 
+@pytest.mark.slow
 def test_report(spark):
     t = feeds.clean()
     t["stops.txt"][0]["stop_lat"] = "x|y"

@@ -18,6 +18,7 @@ def lines(spark, **attributes):
     return frame.withColumn("points", build.line_of(LINE))
 
 
+@pytest.mark.slow
 def test_editor_round_trip(spark, tmp_path):
     e = edit.Editor(spark).add_agency("a", "A", "https://example.com", "UTC").add_stop("s1", "One", 60.1, 24.9).add_stop("s2", "Two", 60.2, 25.0, zone_id="z")
     e.add_route("r", 3, "1", agency_id="a").add_service("wk", "weekdays", "20260101", "20261231").add_shape("sh", [(60.1, 24.9), (60.2, 25.0)])
@@ -35,6 +36,7 @@ def test_editor_round_trip(spark, tmp_path):
             wrong()
 
 
+@pytest.mark.slow
 def test_invalid_feed_is_not_saved(spark, tmp_path):
     t = feeds.clean()
     t["trips.txt"][0]["route_id"] = "gone"
@@ -49,6 +51,7 @@ def test_build_exact_times(spark):
     assert feed.tables["trips.txt"].agg(F.countDistinct("csv_row")).first()[0] == 96
 
 
+@pytest.mark.slow
 def test_build_validates(spark, tmp_path):
     feed = build.build(lines(spark), timezone="Europe/Helsinki")
     result = transform.save(spark, feed, str(tmp_path / "b.zip"), reference_date="2026-06-01")

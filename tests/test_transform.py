@@ -19,6 +19,7 @@ def broken():
     return t
 
 
+@pytest.mark.slow
 def test_repair_is_complete_and_idempotent(spark, tmp_path):
     path = feeds.write(tmp_path / "in.zip", broken(), **{"notes.md": "kept", "../evil.txt": "no"})
     done = transform.repair_feed(spark, path, str(tmp_path / "out.zip"), reference_date="2026-06-01")
@@ -32,6 +33,7 @@ def test_repair_is_complete_and_idempotent(spark, tmp_path):
     assert "notes.md" in names and "../evil.txt" not in names
 
 
+@pytest.mark.slow
 def test_repair_refuses_unsafe_and_sampled(spark, tmp_path):
     path = feeds.write(tmp_path / "in.zip", broken())
     with pytest.raises(OSError, match="incomplete"):
@@ -68,6 +70,7 @@ def test_crop(spark, options, trips):
     assert {r.trip_id for r in cut.tables["trips.txt"].collect()} == trips
 
 
+@pytest.mark.slow
 def test_crop_archive_clamps(spark, tmp_path):
     path = feeds.write(tmp_path / "in.zip", crop_feed())
     done = transform.crop_feed(spark, path, str(tmp_path / "out.zip"), box=(24.8, 60.0, 25.1, 60.3), start_date="20260601", end_date="20260630")

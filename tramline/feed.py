@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The number of a record in its file, header = 1; every tie goes by it.
 ROW = "csv_row"
@@ -67,11 +68,16 @@ class Feed:
         return {r.file: r.n for r in sorted(counts.collect()) if r.n}
 
 
+def local_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any]], first: int) -> DataFrame:
+    """Text rows held by the driver, numbered from ``first``; absent cells are empty.
+
+    They become a local relation, whose size Spark knows, so joins with it need no shuffle.
+    """
+    columns = list(dict.fromkeys(c for r in rows for c in r))
+    cells = {c: pa.array(["" if r.get(c) is None else str(r[c]) for r in rows], pa.string()) for c in columns}
+    return spark.createDataFrame(pa.table({ROW: pa.array(range(first, first + len(rows)), pa.int64()), **cells}))
+
+
 def from_rows(spark: SparkSession, tables: Mapping[str, list[Mapping[str, str]]]) -> Feed:
     """A small feed from rows held by the driver; csv_row counts from 2."""
-    out = {}
-    for name, rows in tables.items():
-        columns = list(dict.fromkeys(c for r in rows for c in r))
-        schema = T.StructType([T.StructField(ROW, T.LongType()), *[T.StructField(c, T.StringType()) for c in columns]])
-        out[name] = spark.createDataFrame([(k + 2, *[str(r.get(c, "")) for c in columns]) for k, r in enumerate(rows)], schema)
-    return Feed(out)
+    return Feed({name: local_rows(spark, rows, 2) for name, rows in tables.items()})

@@ -16,7 +16,9 @@ import zipfile
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import replace
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,6 +30,9 @@ from ..feed import ROW, Feed
 
 csv.field_size_limit(1 << 30)
 
+#: Members up to this size are decoded where the archive's directory is read.
+LOCAL_BYTES = 1 << 20
+
 
 def _records(raw: io.BufferedIOBase) -> Iterator[list[str]]:
     """CSV records; bytes that aren't UTF-8 become U+FFFD, blank lines don't count."""
@@ -141,6 +146,16 @@ def _header(path: str, name: str, budgets: spec.Budgets) -> tuple[list[str] | No
     return header, None
 
 
+def _raw(spark: SparkSession, path: str, info: zipfile.ZipInfo, budgets: spec.Budgets) -> DataFrame:
+    """(csv_row, fields) of a member: by the data source, or, for one of at most
+    ``LOCAL_BYTES``, as a local relation, which costs no task and whose size joins know."""
+    if info.file_size > LOCAL_BYTES:
+        return spark.read.format("tramline_feed").options(path=path, members=json.dumps([info.filename]), max_rows=str(budgets.max_rows)).load().drop("member")
+    with zipfile.ZipFile(path) as z, z.open(info.filename) as raw:
+        records = list(islice(_records(raw), budgets.max_rows + 2))
+    return spark.createDataFrame(pa.table({ROW: pa.array(range(1, len(records) + 1), pa.int64()), "fields": pa.array(records, pa.list_(pa.string()))}))
+
+
 def header_notices(name: str, header: list[str]) -> list[tuple]:
     """What is wrong with the header cells."""
     out: list[tuple] = []
@@ -214,7 +229,7 @@ def read(spark: SparkSession, path: str, budgets: spec.Budgets | None = None) ->
             incomplete |= {name} if refused[0] == "unreadable_file" else set()
             continue
         out += header_notices(name, header)
-        raw = spark.read.format("tramline_feed").options(path=path, members=json.dumps([name]), max_rows=str(budgets.max_rows)).load().drop("member")
+        raw = _raw(spark, path, found[name], budgets)
         tables[name], row_notices = shaped(raw, name, header, budgets)
         headers[name] = tuple(header)
         rows.append(row_notices)
