@@ -66,10 +66,10 @@ def test_build_with_stop_layer(spark):
     assert [(r.stop_id, r.arrival_time) for r in rows] == [("a", "06:00:00"), ("b", "06:10:00")]
 
 
-@pytest.mark.parametrize(("attributes", "message"), [({"mode": "rocket"}, "unknown mode"), ({"headway_min": None}, "no headway"), ({"headway_min": "0"}, "positive"), ({"first_departure": "23:00:00"}, "end after"), ({"speed_kmh": "-1"}, "run time"), ({"monday": "0"}, "no day")])
+@pytest.mark.parametrize(("attributes", "message"), [({"mode": "rocket"}, "unknown mode"), ({"headway_min": " "}, "no headway"), ({"headway_min": "0"}, "positive"), ({"first_departure": "23:00:00"}, "end after"), ({"speed_kmh": "-1"}, "run time"), ({"monday": "0"}, "no day")])
 def test_build_refuses(spark, attributes, message):
     with pytest.raises(ValueError, match=message):
-        build.build(lines(spark, **({"headway_min": "10"} | {k: v for k, v in attributes.items()})).withColumns({k: F.lit(v).cast("string") for k, v in attributes.items() if v is None}), timezone="UTC")
+        build.build(lines(spark, **attributes), timezone="UTC")
 
 
 def net(spark):
