@@ -76,7 +76,8 @@ def signatures(owner: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> n
         step = np.arange(done + 1, done + many + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)
         draw = textnum.mix(seed[:, None] + step[None, :])
         gap = -np.log(((draw >> U(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        times = time[:, None] + np.cumsum(gap, axis=1) / rate[:, None]
+        # One gap after the other, so that no time depends on how many are drawn at once.
+        times = np.cumsum(np.column_stack([time, gap / rate[:, None]]), axis=1)[:, 1:]
         mark = textnum.mix(draw ^ U(0xA0761D6478BD642F))
         place = (mark >> U(32)) % U(PLACES)
         level = floor[:, None] + (mark & U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate[:, None]
@@ -177,10 +178,9 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), shared.text_key(text).alias("key"), F.col(text).alias("text"))
     signed = rows.where("id is not null").mapInArrow(_banded, "id long, key long, bands array<long>")
     signed = shared.written(signed, "signatures")
-    # Equal texts have equal bands; a class is told by its text hash and bands.
-    alike = F.xxhash64("bands")
-    kinds = signed.groupBy("key", alike.alias("alike")).agg(F.min("id").alias("rep"))
-    member = shared.written(signed.withColumn("alike", alike).join(kinds, ["key", "alike"]).select("id", "key", "rep", "bands"), "members")
+    # Equal texts are one class, told by the text hash alone.
+    kinds = signed.groupBy("key").agg(F.min("id").alias("rep"))
+    member = shared.written(signed.join(kinds, "key").select("id", "key", "rep", "bands"), "members")
     keys = member.where("id = rep").dropDuplicates(["rep"]).select("rep", F.posexplode("bands").alias("band", "h"))
     bucket = ["band", "h"]
     sizes = keys.groupBy(*bucket).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
