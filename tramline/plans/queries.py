@@ -217,9 +217,9 @@ def w9_shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def w14_block_pair_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that pairs of a block's trips are looked at under, for small blocks."""
+    """Numbers that pairs of a block's trips are looked at under."""
     f = star_feed(spark, sf_dir, "trips.txt", "stop_times.txt")
-    m = blocks.ranked(validate.block_members(f)).where("n between 2 and 5")
+    m = blocks.ranked(validate.block_members(f))
     a, b = m.select("block_id", F.col("i").alias("i_a"), "n"), m.select("block_id", F.col("i").alias("i_b"))
     pairs = a.join(b, "block_id").where("i_a < i_b")
     return pairs.select("block_id", F.col("i_a").cast("bigint").alias("i_a"), F.col("i_b").cast("bigint").alias("i_b"), blocks.pair_number(F.col("i_a"), F.col("i_b"), F.col("n")).alias("number"))
