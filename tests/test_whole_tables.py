@@ -25,3 +25,17 @@ def test_pair_numbers_of_every_block(spark, table):
     folder = table("lineitem", lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string, l_extendedprice double")
     got = {tuple(r) for r in QUERIES["w14_block_pair_numbers"](spark, folder).collect()}
     assert got == {(str(block), i, j, k) for block, n in trips.items() for k, (i, j) in enumerate(combinations(range(n), 2), 1)}
+
+
+def test_every_user_is_measured(spark, table):
+    rows = [(k, k % 45) for k in range(1, 200)]
+    folder = table("events", rows, "event_id bigint, user_id bigint")
+    expected, last, along = {}, {}, {}
+    for k, user in rows:
+        lat, lon = math.radians(k * 13 % 9500 / 100), math.radians(k * 29 % 18500 / 100)
+        a, b = last.get(user, (lat, lon))
+        h = math.sin((lat - a) / 2) ** 2 + math.cos(a) * math.cos(lat) * math.sin((lon - b) / 2) ** 2
+        along[user] = along.get(user, 0.0) + 2 * 6_371_008.8 * math.asin(math.sqrt(h))
+        last[user], expected[(user, k)] = (lat, lon), along[user]
+    got = {(r.user_id, r.event_id): r.along_m for r in QUERIES["w19_cumulative_distance"](spark, folder).collect()}
+    assert got == pytest.approx(expected, abs=0.011)

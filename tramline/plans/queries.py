@@ -234,7 +234,7 @@ def w15_idle_services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def w19_cumulative_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = source(spark, sf_dir, "events").where("user_id < 20").selectExpr("user_id", "event_id", "cast(event_id * 13 % 9500 as double) / 100 as lat", "cast(event_id * 29 % 18500 as double) / 100 as lon")
+    points = source(spark, sf_dir, "events").selectExpr("user_id", "event_id", "cast(event_id * 13 % 9500 as double) / 100 as lat", "cast(event_id * 29 % 18500 as double) / 100 as lon")
     return geo.with_cumulative_m(points, ["user_id"], ["event_id"]).select("user_id", "event_id", F.round("along_m", 2).alias("along_m"))
 
 
