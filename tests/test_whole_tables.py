@@ -39,3 +39,9 @@ def test_every_user_is_measured(spark, table):
         last[user], expected[(user, k)] = (lat, lon), along[user]
     got = {(r.user_id, r.event_id): r.along_m for r in QUERIES["w19_cumulative_distance"](spark, folder).collect()}
     assert got == pytest.approx(expected, abs=0.011)
+
+
+def test_orphans_are_used_by_no_other_order(spark, table):
+    lines = [(100, 1), (100, 2), (100, 3), (200, 3), (200, 4), (150, 2), (7, 1), (7, 9)]
+    folder = table("lineitem", lines, "l_orderkey bigint, l_partkey bigint")
+    assert sorted(r.node for r in QUERIES["u6_orphan_nodes"](spark, folder).collect()) == [3, 4]
