@@ -45,3 +45,12 @@ def test_orphans_are_used_by_no_other_order(spark, table):
     lines = [(100, 1), (100, 2), (100, 3), (200, 3), (200, 4), (150, 2), (7, 1), (7, 9)]
     folder = table("lineitem", lines, "l_orderkey bigint, l_partkey bigint")
     assert sorted(r.node for r in QUERIES["u6_orphan_nodes"](spark, folder).collect()) == [3, 4]
+
+
+def test_escapes_see_the_whole_text(spark, table):
+    long = "Word <b> & " * 100 + "End!"
+    folder = table("documents", [(1, long), (2, "Ab 'c'"), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.clipped, r.html, r.slug) for r in QUERIES["x_text_escapes"](spark, folder).collect()}
+    clipped = long[:120] + "…"
+    html = clipped.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    assert got == {1: (clipped, html, "word-b-" * 100 + "end"), 2: ("Ab 'c'", "Ab &#x27;c&#x27;", "ab-c"), 3: (None, None, None)}

@@ -492,8 +492,8 @@ def x_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def x_text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring(F.col("text"), 1, 400)
-    return source(spark, sf_dir, "documents").select("doc_id", text.clip(t).alias("clipped"), text.html_escape(text.clip(t)).alias("html"), text.slug(F.substring(t, 1, 60)).alias("slug"))
+    t = F.col("text")
+    return source(spark, sf_dir, "documents").select("doc_id", text.clip(t).alias("clipped"), text.html_escape(text.clip(t)).alias("html"), text.slug(t).alias("slug"))
 
 
 @query
