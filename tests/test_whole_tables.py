@@ -54,3 +54,10 @@ def test_escapes_see_the_whole_text(spark, table):
     clipped = long[:120] + "…"
     html = clipped.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     assert got == {1: (clipped, html, "word-b-" * 100 + "end"), 2: ("Ab 'c'", "Ab &#x27;c&#x27;", "ab-c"), 3: (None, None, None)}
+
+
+def test_shift_leaves_other_trips_alone(spark, table):
+    lines = [(order, 1, 5, supplier, "R", "O", 1.0) for order in (100, 101) for supplier in (10, 21)]
+    folder = table("lineitem", lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string, l_extendedprice double")
+    got = [tuple(r) for r in QUERIES["t13_shifted_trip"](spark, folder).orderBy("csv_row").select("arrival_time", "departure_time").collect()]
+    assert got == [("", "25:59:54"), ("25:00:04", "26:00:05"), ("", "01:59:55"), ("01:00:05", "02:00:06")]
