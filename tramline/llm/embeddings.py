@@ -2,13 +2,13 @@
 
 Each unit vector is rotated at random a few times; the signs of a rotation are
 its code, and the inner product of the vector with its own code vector is
-stored as the correction factor.  For a pair, <code, other> / factor estimates
-the cosine without bias, and
+stored as the correction factor.  The unbiased estimate of a pair's cosine,
+<code, other> / factor, and its confidence bound are not computed: a bound that
+holds with certainty replaces them,
 
     cos <= f * g + sqrt(1 - f^2) * sqrt(1 - g^2),   f = <code, own>, g = <code, other>
 
-bounds it from above with certainty (both are projections onto one unit
-vector).  Only pairs whose bound reaches the threshold are recomputed exactly,
+(both are projections onto one unit vector).  Only pairs whose bound reaches the threshold are recomputed exactly,
 in double precision, so the codes never lose or add a link.
 
 Candidates come from bands of code bits.  The number of bits follows the
