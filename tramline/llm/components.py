@@ -37,7 +37,10 @@ def connected(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
         large = shared.written(large.where("a <> b").distinct(), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").unionAll(low.select(F.col("a").alias("x"), "m"))
+        before = e
         e = shared.written(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "small-star")
+        shared.discard(before)
+        shared.discard(large)
         now = _print_of(e)
         if now == last:
             break

@@ -9,16 +9,26 @@ are thinned out.  Each place keeps its earliest point, and a process ends when
 its time passes the latest place.  Two signatures agree at a place with
 probability equal to the texts' weighted Jaccard similarity.
 
-Signatures are banded; equal texts stand in one class from the start.  In each
-bucket every member is held against the bucket's smallest member and then its
-largest, verified by the exact multiset overlap.  Members of a bucket that are
-still in different components after that meet by their rarest shingles, which
-two texts at the similarity must share, so that no link between components is
-lost and neither copies nor common lines make all pairs.
+Signatures are banded, and texts that share a band are verified by the exact
+multiset overlap.  Equal texts are one kind from the start (128-bit hash).
+
+1. Each kind goes to one hub, the smallest id of all its buckets; a hub's kinds
+   are dealt to blocks of bounded size, each with the hub's own bag.
+2. Buckets whose members are still in different components are searched whole:
+   a task compares what is in different components and in no earlier common
+   bucket, and returns a spanning forest, never pairs.
+3. Buckets beyond a block's bound are dealt anew by rare members: with members
+   ordered by rarity, two texts at the similarity share one of their first
+   ``size - ceil(similarity * size) + 1``.  A rare member beyond the bound is
+   searched by pairs of blocks.
+
+So no link between buckets' members is lost, and dense groups cost one pass.
 
 Defined cases: a null or empty text, or one without words, is alone; rows with
-equal ids are one document; ties go to the smallest id; a row with a null id
-is alone; an empty table gives an empty result; extra columns are ignored.
+equal ids are one document, which has the links of each of its texts and stays
+or goes whole; ties go to the smallest id; a row with a null id is alone; very
+long texts count whole; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, shared, textnum
@@ -38,18 +48,23 @@ SIMILARITY = 0.8
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^20 = 3e-5.
 BANDS, BAND_ROWS = 20, 4
 PLACES = BANDS * BAND_ROWS
+#: A task searches at most so many texts, with so many shingles in all, as one place.
+BLOCK, BLOCK_MEMBERS = 2048, 1 << 22
+KIND = ["key", "key2"]
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, hash, count) of each text's distinct shingles, sorted by both."""
     start, end, first = textnum.words(data, offsets)
-    one = textnum.word_hashes(data, start, end)
-    pre = textnum.prefix(one, 0)
+    one = textnum.span_hashes(data, start, end)
     n = np.diff(first)
     room = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(n)), room)
     lo = np.arange(len(owner)) + np.repeat(first[:-1] - (np.cumsum(room) - room), room)
-    h = textnum.spans_hash(pre, lo, lo + np.minimum(SHINGLE, n)[owner], 0)
+    h = one[lo]
+    for k in range(1, SHINGLE):
+        own = slice(None) if not len(n) or n.min() >= SHINGLE else n[owner] > k
+        h[own] = textnum.joined(h[own], one[lo[own] + k])
     order = np.argsort(h, kind="stable")
     order = order[np.argsort(owner[order].astype(np.int32), kind="stable")]
     owner, h = owner[order], h[order]
@@ -106,43 +121,103 @@ def bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two multisets, each given as its distinct members, a
-    repeat being a member of its own."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, keys = bands(batch["text"])
         take = pa.array(rows)
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch["id"].take(take), batch["key"].take(take), lists], ["id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch["id"].take(take), batch["key"].take(take), batch["key2"].take(take), lists], ["id", "key", "key2", "bands"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's multiset as sorted 64-bit members; the k-th copy of a shingle has a hash of its own."""
     for batch in batches:
         data, offsets = textnum.buffers(batch["text"])
-        body = []
         for a, b in textnum.pieces(offsets):
             owner, h, count = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             member = textnum.mix(np.repeat(h, count) + copy.astype(np.uint64) * U(0x9E3779B97F4A7C15))
             edge = np.searchsorted(np.repeat(owner, count), np.arange(b - a + 1))
-            body += [member[edge[k] : edge[k + 1]].tobytes() for k in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(body, pa.binary())], ["rep", "bag"])
+            body = [member[edge[k] : edge[k + 1]].tobytes() for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("key", "key2", "rep")), pa.array(np.diff(edge)), pa.array(body, pa.binary())], ["key", "key2", "rep", "size", "bag"])
 
 
-def _verified(similarity: float):  # noqa: ANN202
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch["bag_a"], batch["bag_b"]
-            good = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+def forest(bags: list[np.ndarray], part: np.ndarray, similarity: float, bands: np.ndarray | None = None, band: int = 0, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs at the similarity that join different parts, as a spanning forest.
 
-    return check
+    ``bands`` leaves out pairs that share a band before ``band``; ``block``
+    those of one block.
+    """
+    size = np.array([len(b) for b in bags], dtype=np.int64)
+    order = np.argsort(size, kind="stable")
+    size, part = size[order], part[order].copy()
+    edge = np.r_[0, np.cumsum(size)]
+    _, member = np.unique(np.concatenate([bags[k] for k in order]), return_inverse=True)
+    seen = np.zeros(len(member) + 1, dtype=np.int8)
+    reach = np.searchsorted(size, size / similarity + 1e-9, "right")  # larger texts cannot reach it
+    found = []
+    for i in range(len(order)):
+        j = np.arange(i + 1, reach[i])
+        j = j[part[j] != part[i]]
+        if block is not None:
+            j = j[block[order[j]] != block[order[i]]]
+        if bands is not None and len(j):
+            j = j[np.argmax(bands[order[j]] == bands[order[i]], axis=1) == band]
+        if not len(j):
+            continue
+        own = member[edge[i] : edge[i + 1]]
+        seen[own] = 1
+        n = size[j]
+        flat = np.arange(n.sum()) + np.repeat(edge[j] - (np.cumsum(n) - n), n)
+        both = np.add.reduceat(seen[member[flat]], np.cumsum(n) - n, dtype=np.int64)
+        seen[own] = 0
+        j = j[both / (n + size[i] - both) >= similarity]
+        for k in j:
+            if part[k] != part[i]:
+                found.append((int(order[i]), int(order[k])))
+                part[part == part[k]] = part[i]
+    return found
+
+
+_GROUPED = ["deal", "place", "side", "band", "rep", "part", "bands", "bag"]
+
+
+def _grouped(similarity: float, masked: bool):  # noqa: ANN202
+    """Search each place of a dealt group; ``side`` tells the blocks of a pair apart, 0 is both."""
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("rep", "ascending")])
+        place, rep, part, side, band = (table[c].to_numpy() for c in ("place", "rep", "part", "side", "band"))
+        bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["bag"]]
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if masked else None
+        cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+        a, b = [], []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            across = side[lo:hi] if (side[lo:hi] != 0).any() else None
+            for i, j in forest(bags[lo:hi], part[lo:hi], similarity, keys[lo:hi] if masked else None, int(band[lo]), across):
+                a.append(rep[lo + i])
+                b.append(rep[lo + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return search
+
+
+def _blocks(n: str, size: str) -> Column:
+    """Number of blocks that so many texts with so many members fill."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_MEMBERS)).cast("int")
+
+
+def _searched(rows: DataFrame, bags: DataFrame, similarity: float, masked: bool, name: str) -> DataFrame:
+    """Links of rows(key, key2, place, side, band, part[, bands]), small places grouped to about a block."""
+    rows = shared.written(rows, f"{name}-places")
+    members = bags.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
+    groups = 1 + int(rows.count() * max(1 / BLOCK, members / BLOCK_MEMBERS))
+    wide = rows.join(bags, KIND).withColumn("deal", F.pmod(F.xxhash64("place"), F.lit(groups)))
+    if not masked:
+        wide = wide.withColumn("bands", F.array().cast("array<long>"))
+    found = shared.written(wide.select(*_GROUPED).groupBy("deal").applyInArrow(_grouped(similarity, masked), "a long, b long"), name)
+    shared.discard(rows)
+    return found
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,74 +225,90 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["bag"]]
         size = np.array([len(x) for x in bags], dtype=np.int64)
         take = pa.array(np.repeat(np.arange(len(bags)), size))
-        yield pa.RecordBatch.from_arrays([batch["rep"].take(take), batch["part"].take(take), pa.array(np.repeat(size, size)), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["rep", "part", "size", "member"])
+        yield pa.RecordBatch.from_arrays([batch["key"].take(take), batch["key2"].take(take), batch["size"].take(take), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["key", "key2", "size", "member"])
 
 
-def _rare_pairs(apart: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of texts in different components that can reach the similarity.
-
-    With members ordered by rarity, two texts that reach it share one of their
-    first ``size - ceil(similarity * size) + 1`` members: texts that only share
-    common lines meet nowhere, so a crowded bucket makes no pairs of them.
-    """
-    rows = apart.join(bags, "rep").select("rep", "part", "bag").mapInArrow(_members, "rep long, part long, size long, member long")
-    rows = shared.written(rows, "bag-members")
-    often = rows.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("rep").orderBy("n", "member")
+def _by_rare_member(wide: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Places for :func:`_searched` of the kinds of crowded buckets, dealt by their rare members."""
+    rows = shared.written(wide.join(bags, KIND).select(*KIND, "size", "bag").mapInArrow(_members, "key long, key2 long, size long, member long"), "bag-members")
+    often = rows.groupBy("member").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy(*KIND).orderBy("often", "member")
     first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    rare = rows.join(often, "member").withColumn("k", F.row_number().over(order)).where((F.col("k") <= first) & (F.col("n") > 1)).select("rep", "part", "size", "member")
+    rare = rows.join(often, "member").withColumn("k", F.row_number().over(order)).where((F.col("k") <= first) & (F.col("often") > 1)).select(*KIND, "size", "member")
     rare = shared.written(rare, "rare-members")
-    other = rare.select(F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"), "member")
-    met = rare.withColumnRenamed("rep", "a").join(other, "member").where("a < b and part <> part_b")
-    fits = (F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-9)
-    return met.where(fits).select("a", "b").distinct()
+    full = rare.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("n > 1").select("member", _blocks("n", "all").alias("blocks"))
+    met = rare.join(full, "member").withColumn("own", F.pmod(F.xxhash64(*KIND), F.col("blocks")).cast("int"))
+    # One block: place 0.  Several: each pair of blocks, and each block by itself, is a place.
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
+    met = met.select(*KIND, F.xxhash64("member", F.least("own", "other"), F.greatest("own", "other")).alias("place"), side.alias("side"), F.lit(0).alias("band"))
+    return met.join(wide, KIND).select(*KIND, "place", "side", "band", "part")
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, key, class_id) for every distinct pair of id and text hash."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), shared.text_key(text).alias("key"), F.col(text).alias("text"))
-    signed = rows.where("id is not null").mapInArrow(_banded, "id long, key long, bands array<long>")
+    """(id, class_id) for every distinct id whose document has words."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), shared.text_key(text).alias("key"), shared.text_key(text, 2).alias("key2"), F.col(text).alias("text"))
+    signed = rows.where("id is not null").mapInArrow(_banded, "id long, key long, key2 long, bands array<long>")
     signed = shared.written(signed, "signatures")
-    # Equal texts are one class, told by the text hash alone.
-    kinds = signed.groupBy("key").agg(F.min("id").alias("rep"))
-    member = shared.written(signed.join(kinds, "key").select("id", "key", "rep", "bands"), "members")
-    keys = member.where("id = rep").dropDuplicates(["rep"]).select("rep", F.posexplode("bands").alias("band", "h"))
+    kinds = shared.written(signed.groupBy(*KIND).agg(F.min("id").alias("rep")), "kinds")
+    member = shared.written(signed.join(kinds, KIND).select("id", *KIND, "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    shared.discard(signed)
+    own = member.where("bands is not null").dropDuplicates(KIND)
+    keys = own.select(*KIND, "rep", "bands", F.posexplode("bands").alias("band", "h"))
     bucket = ["band", "h"]
-    sizes = keys.groupBy(*bucket).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    sizes = keys.groupBy(*bucket).agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket, "low")
     keys = shared.written(keys.join(sizes, bucket), "buckets")
-    wanted = keys.select("rep").distinct()
-    bags = rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "text").mapInArrow(_bags, "rep long, bag binary")
-    bags = shared.written(bags.dropDuplicates(["rep"]), "bags")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b")
-        return both.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(similarity), "a long, b long")
-
-    star = keys.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionAll(keys.select(F.col("rep").alias("a"), F.col("high").alias("b")))
-    star = shared.written(star.where("a < b").distinct(), "star")
-    links = shared.written(verified(star), "links")
+    hubs = shared.written(keys.groupBy(*KIND, "rep").agg(F.min("low").alias("hub")), "hubs")
+    # Only texts that share a bucket are read again.
+    wanted = rows.select(*KIND, "id", "text").join(hubs, (rows["key"] == hubs["key"]) & (rows["key2"] == hubs["key2"]) & (rows["id"] == hubs["rep"])).select(hubs["key"], hubs["key2"], "rep", "text")
+    bags = shared.written(wanted.dropDuplicates(KIND).mapInArrow(_bags, "key long, key2 long, rep long, size long, bag binary"), "bags")
+
+    # 1. Each kind with its hub.
+    sized = hubs.join(bags.select(*KIND, "size"), KIND)  # (key, key2, rep, hub, size)
+    crowd = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).select("hub", _blocks("n", "all").alias("blocks"))
+    crowd = shared.written(crowd, "hub-blocks")
+    spokes = sized.join(crowd, "hub").select(*KIND, "rep", "hub", F.pmod(F.xxhash64(*KIND), F.col("blocks")).cast("int").alias("own"))
+    middles = hubs.select(*KIND, "rep").join(crowd, F.col("rep") == F.col("hub")).select(*KIND, "rep", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    near = spokes.unionAll(middles).distinct()
+    links = _searched(near.select(*KIND, F.xxhash64("hub", "own").alias("place"), F.lit(0).alias("side"), F.lit(0).alias("band"), F.col("rep").alias("part")), bags, similarity, False, "hub-links")
+    # The texts of one id are one document.
+    twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("id", "a")
+    links = links.unionAll(member.join(twice, "id").select("a", F.col("rep").alias("b")))
     parts = shared.written(components.connected(links), "parts")
-    # What is left: members of one bucket in different components, not yet compared.
-    placed = keys.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *bucket, F.coalesce("component", "rep").alias("part"))
-    split = placed.groupBy(*bucket).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(*bucket)
-    apart = placed.join(split, bucket, "left_semi").select("rep", "part").distinct()
-    more = shared.written(verified(_rare_pairs(apart, bags, similarity).join(star, ["a", "b"], "left_anti")), "more-links")
+
+    # 2. Buckets that hold several components yet.
+    placed = keys.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    placed = shared.written(placed.join(bags.select(*KIND, "size"), KIND).select(*KIND, *bucket, "rep", "part", "bands", "size"), "placed")
+    split = placed.groupBy(*bucket).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("p < q").select(*bucket, _blocks("n", "all").alias("blocks"))
+    split = shared.written(split, "split-buckets")
+    whole = placed.join(split.where("blocks = 1"), bucket, "left_semi")
+    more = _searched(whole.select(*KIND, F.xxhash64(*bucket).alias("place"), F.lit(0).alias("side"), "band", "part", "bands"), bags, similarity, True, "bucket-links")
+    # 3. Those that no task may hold whole.
+    if split.where("blocks > 1").limit(1).count():
+        wide = shared.written(placed.join(split.where("blocks > 1"), bucket, "left_semi").select(*KIND, "part").distinct(), "wide")
+        more = more.unionAll(_searched(_by_rare_member(wide, bags, similarity), bags, similarity, False, "wide-links"))
     parts = components.connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
-    placed_members = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", "key", F.coalesce("component", "rep").alias("class_id"))
-    return placed_members.distinct()
+    found = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    found = shared.written(found.groupBy("id").agg(F.min("class_id").alias("class_id")), "classes")
+    for table in (kinds, member, keys, hubs, bags, crowd, placed):
+        shared.discard(table)
+    return found
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) for every row of ``docs``."""
     found = classes(docs, doc_id=doc_id, text=text, similarity=similarity)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), shared.text_key(text).alias("key"))
-    joined = rows.join(found, (rows["doc_id"] == found["id"]) & (rows["key"] == found["key"]), "left")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+    joined = rows.where("doc_id is not null").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = out.unionAll(rows.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its class."""
     found = classes(docs, doc_id=doc_id, text=text, similarity=similarity)
-    gone = found.where("id <> class_id").select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
-    return docs.join(gone, (docs[doc_id].cast("long") == gone["gone_id"]) & (shared.text_key(docs[text]) == gone["gone_key"]), "left_anti")
+    gone = found.where("id <> class_id").select(F.col("id").alias("gone_id"))
+    known = docs.where(docs[doc_id].isNotNull())
+    kept = known.join(gone, known[doc_id].cast("long") == gone["gone_id"], "left_anti")
+    return kept.unionAll(docs.where(docs[doc_id].isNull()))

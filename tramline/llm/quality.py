@@ -32,7 +32,6 @@ BINS = 2048
 RIDGE = 1e-3
 GAMMA = 0.035
 BLOCKS = 8
-SUM_TASKS = 64
 
 _CLASS = {
     "alpha": bytes([*range(65, 91), *range(97, 123), *range(128, 256)]),
@@ -82,7 +81,7 @@ def _piece_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     length = (end - start).astype(np.float64)
     mean = np.bincount(owner, length, n) * per_word
     square = np.bincount(owner, length * length, n) * per_word
-    hashes = textnum.word_hashes(data, start, end)
+    hashes = textnum.span_hashes(data, start, end)
     distinct, most = _group_stats(hashes, owner, n)
     same = np.zeros(len(hashes))
     if len(hashes) > 1:
@@ -91,14 +90,14 @@ def _piece_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     capital = np.bincount(owner, _MASK["upper"][data[start]] if len(start) else None, n) * per_word if len(start) else np.zeros(n)
     odd_end = np.bincount(owner, _MASK["odd"][data[end - 1]], n) * per_word if len(start) else np.zeros(n)
     stop_end = np.bincount(owner, data[end - 1] == ord("."), n) * per_word if len(start) else np.zeros(n)
-    # Lines: spans between line ends, hashed from the same prefix sums as words.
+    # Lines: spans between line ends.
     cut = np.flatnonzero(data == 10)
     edges = np.unique(np.concatenate([offsets, cut, cut + 1]))
     lo, hi = edges[:-1], edges[1:]
     keep = (hi > lo) & (data[lo] != 10) if len(lo) else np.zeros(0, bool)
     lo, hi = lo[keep], hi[keep]
     line_owner = np.searchsorted(offsets, lo, "right") - 1
-    line_hash = textnum.spans_hash(textnum.prefix(textnum.byte_values(data, 0), 0), lo, hi, 0) if len(lo) else np.zeros(0, np.uint64)
+    line_hash = textnum.span_hashes(data, lo, hi)
     lines = np.bincount(line_owner, minlength=n).astype(np.float64)
     line_kinds, _ = _group_stats(line_hash, line_owner, n)
     repeated = 1 - line_kinds / np.maximum(lines, 1)
@@ -190,7 +189,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: s
         total = sum(np.frombuffer(x.as_buffer()) for x in table["part"])
         return pa.table({"fold": [key[0].as_py()], "block": [key[1].as_py()], "part": [total.tobytes()]}, schema=table.schema)
 
-    parts = rows.coalesce(SUM_TASKS).mapInArrow(equations, "fold int, block int, part binary").groupBy("fold", "block").applyInArrow(added, "fold int, block int, part binary").collect()
+    parts = rows.mapInArrow(equations, "fold int, block int, part binary").groupBy("fold", "block").applyInArrow(added, "fold int, block int, part binary").collect()
     each = np.zeros((FOLDS, dim, dim + 1))
     split = np.array_split(np.arange(dim), BLOCKS)
     for p in parts:

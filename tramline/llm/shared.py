@@ -17,6 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests on one machine) is one set.
     """
+    bound_batches(spark)
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -61,9 +62,19 @@ def _release(spark: SparkSession) -> None:
         return
 
 
-def text_key(text: str | Column) -> Column:
-    """Tells rows with one id but different texts apart."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+def text_key(text: str | Column, salt: int | None = None) -> Column:
+    """Tells rows with one id but different texts apart; two salts make 128 bits."""
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.xxhash64(whole) if salt is None else F.xxhash64(F.lit(salt), whole)
+
+
+#: The Python side holds a few Arrow batches at a time; long texts are counted by bytes.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Arrow batches cut by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:

@@ -45,11 +45,7 @@ def _gram(width: int) -> int:
 
 def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = textnum.words(data, offsets)
-    return textnum.word_hashes(data, start, end), first
-
-
-def _two_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    return [textnum.prefix(textnum.word_hashes(data, start, end, which), which) for which in (0, 1)]
+    return textnum.span_hashes(data, start, end), first
 
 
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -67,20 +63,20 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             for a, b in textnum.pieces(offsets):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 start, end, first = textnum.words(d, o)
-                one = textnum.word_hashes(d, start, end)
-                p = windows.anchored(one, first, width, gram)
+                p = windows.anchored(textnum.span_hashes(d, start, end), first, width, gram)
                 c = windows.chunks(p, sketch.value, CUT_EVERY)
                 if not len(c.lo):
                     continue
                 lo, hi = p.at[c.lo], p.at[c.hi - 1] + width  # words of the run
-                sums = [textnum.prefix(one, 0), textnum.prefix(textnum.word_hashes(d, start, end, 1), 1)]
-                whole = [textnum.spans_hash(s, lo, hi, w).view(np.int64) for w, s in enumerate(sums)]
+                plain, lo_byte, hi_byte = textnum.one_spaced(d, start, end)
+                raw = plain.tobytes()
+                lo_byte, hi_byte = lo_byte[lo], hi_byte[hi - 1]
+                whole = textnum.digests(raw, lo_byte, hi_byte)
                 owner = p.owner[c.lo]
-                raw = d.tobytes()
-                body = [raw[s:e] for s, e in zip(start[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+                body = [raw[s:e] for s, e in zip(lo_byte.tolist(), hi_byte.tolist(), strict=True)]
                 take = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[0]), pa.array(whole[1]), batch["id"].take(take), batch["key"].take(take), pa.array((lo - first[owner]).astype(np.int32)), pa.array((hi - lo - width + 1).astype(np.int32)), pa.array(body, pa.binary())],
+                    [pa.array(whole[:, 0]), pa.array(whole[:, 1]), batch["id"].take(take), batch["key"].take(take), pa.array((lo - first[owner]).astype(np.int32)), pa.array((hi - lo - width + 1).astype(np.int32)), pa.array(body, pa.binary())],
                     ["c1", "c2", "id", "key", "at", "n", "body"],
                 )
 
@@ -99,11 +95,12 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             for a, b in textnum.pieces(offsets):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 start, end, first = textnum.words(d, o)
-                p = windows.anchored(textnum.word_hashes(d, start, end), first, width, gram)
+                one = textnum.span_hashes(d, start, end)
+                p = windows.anchored(one, first, width, gram)
                 head = np.flatnonzero(windows.changes(p))
                 kept = np.repeat(windows.maybe_repeated(again.value, p.anchor[head]), np.diff(np.r_[head, len(p.at)]))
                 lo, owner = p.at[kept], p.owner[kept]
-                h = [textnum.spans_hash(s, lo, lo + width, w).view(np.int64) for w, s in enumerate(_two_sums(d, start, end))]
+                h = [textnum.window_hashes(one if w == 0 else textnum.span_hashes(d, start, end, w), width, w)[lo].view(np.int64) for w in (0, 1)]
                 take = pa.array(owner + a)
                 at = batch["at"].take(take).to_numpy() + lo - first[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), batch["id"].take(take), batch["key"].take(take), pa.array(at.astype(np.int32))], ["h1", "h2", "id", "key", "at"])

@@ -1,13 +1,18 @@
 """Numpy kernels over Arrow string buffers: words, rolling hashes, minimizers.
 
 Every kernel works on the concatenated UTF-8 bytes of a bounded batch of whole
-texts; no per-row Python strings are built.  All hashes are 64-bit with
-wrap-around arithmetic, finished with an avalanche mix.  A null text counts as
-an empty one.
+texts; no per-row Python strings are built.  A null text counts as an empty one.
+
+Two kinds of hashes are told apart.  ``rolling`` is a sum of powers with
+wrap-around: equal windows have equal hashes, but unequal ones can be built that
+collide, so it only ever picks anchors and filters.  Whatever puts units into one
+class uses hashes whose every step is mixed (``span_hashes``, ``window_hashes``),
+128-bit digests, or the bytes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,14 +91,8 @@ def prefix(values: np.ndarray, which: int) -> np.ndarray:
     return out
 
 
-def spans_hash(pre: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int) -> np.ndarray:
-    """Hash of each span ``[lo, hi)`` from :func:`prefix` sums, length mixed in."""
-    at = powers(which, len(pre))
-    return mix((pre[hi] - pre[lo]) * at[lo] + (hi - lo).astype(np.uint64) * U(0xA24BAED4963EE407))
-
-
 def rolling(values: np.ndarray, width: int, which: int) -> np.ndarray:
-    """Hash of every ``width`` consecutive values (empty if there are fewer)."""
+    """Filter hash of every ``width`` consecutive values (empty if there are fewer)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -122,9 +121,78 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tu
     return start, end, np.searchsorted(start, offsets, "left")
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    return spans_hash(prefix(_BYTE[which][data], which), start, end, which)
+_STEP = [(U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)), (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))]
+_FIRST_BYTES = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], dtype=np.uint64)
+#: Longer spans are hashed one by one.
+SPAN_BYTES = 64
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span, taken in eights, every step mixed."""
+    size = end - start
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    key, odd = _STEP[which]
+    out = mix((size.astype(np.uint64) * odd ^ eight[start] & _FIRST_BYTES[np.minimum(size, 8)]) + key)
+    for done in range(8, SPAN_BYTES, 8):
+        own = np.flatnonzero(size > done)
+        if not len(own):
+            return out
+        block = eight[start[own] + done] & _FIRST_BYTES[np.minimum(size[own] - done, 8)]
+        out[own] = mix(out[own] * odd ^ block)
+    own = np.flatnonzero(size > SPAN_BYTES)
+    if len(own):
+        raw, secret = data.tobytes(), int(key).to_bytes(8, "little")
+        long = b"".join(hashlib.blake2b(raw[s:e], digest_size=8, key=secret).digest() for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True))
+        out[own] = np.frombuffer(long, "<u8")
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of two neighbours from theirs; no sum, so order and place count."""
+    key, odd = _STEP[which]
+    x = a * odd
+    x ^= x >> U(32)
+    x += b
+    x *= key
+    x ^= x >> U(29)
+    return x
+
+
+def window_hashes(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """Mixed hash of every ``width`` consecutive values, by doubling the span."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    level, span, done, out, left = values, 1, 0, None, width
+    while True:
+        if left & 1:
+            part = level[done : done + n]
+            out = part if out is None else joined(out, part, which)
+            done += span
+        left >>= 1
+        if not left:
+            return mix(out.copy())
+        level = joined(level[:-span], level[span:], which)
+        span *= 2
+
+
+def digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(len(lo), 2) signed halves of the 128-bit BLAKE2b digest of each span."""
+    out = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(lo.tolist(), hi.tolist(), strict=True))
+    return np.frombuffer(out, "<i8").reshape(-1, 2)
+
+
+def one_spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end) of the words with one space after each."""
+    size = end - start
+    total = np.cumsum(size)
+    out = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
+    flat = np.arange(int(size.sum()))
+    out[flat + np.repeat(np.arange(len(size)), size)] = data[flat + np.repeat(start - (total - size), size)]
+    own = total - size + np.arange(len(size))
+    return out, own, own + size
 
 
 def byte_values(data: np.ndarray, which: int) -> np.ndarray:

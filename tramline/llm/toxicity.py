@@ -9,7 +9,7 @@ zero, and is what the scoring tasks receive.
 
 Defined cases: a null or empty text has no features and scores by the bias
 alone; a null id is never learned from; a document with several label rows
-takes the largest; null labels teach nothing; without labels every score is
+takes the largest, one with several texts teaches by the smallest; null labels teach nothing; without labels every score is
 0.5; an empty table gives an empty result.  Extra columns are ignored.
 """
 
@@ -43,13 +43,13 @@ _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fals
 def _piece_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, feature) of every word, pair and skip-gram; repeats included."""
     start, end, first = textnum.words(data, offsets, _GAP)
-    sums = textnum.prefix(textnum.byte_values(_FOLD[data], 0), 0)
-    one = textnum.spans_hash(sums, start, end, 0)
+    folded = _FOLD[data]
+    one = textnum.span_hashes(folded, start, end)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     feature, whose = [one], [owner]
     for size in STEMS:
         longer = end - start > size
-        feature.append(textnum.spans_hash(sums, start[longer], start[longer] + size, 0) + np.uint64(size))
+        feature.append(textnum.span_hashes(folded, start[longer], start[longer] + size) + np.uint64(size))
         whose.append(owner[longer])
     for gap, salt in ((1, 0x51ED270B), (2, 0xC2B2AE35)):
         if len(one) > gap:
@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null and not isnan(y)")
     marks = marks.where(shared.remainder("id", modulus) != held_out).groupBy("id").agg(F.max("y").alias("y"))
     marks = marks.withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample_rows)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(marks), "id").select("text", "at", "y")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(marks), "id")
+    rows = rows.groupBy("id", "at", "y").agg(F.min("text").alias("text")).select("text", "at", "y")
     got = rows.mapInArrow(_feature_rows, "sample int, at long, y double, features binary").groupBy("sample").applyInArrow(_sample_fit, "index binary, weight binary, bias double").collect()
     if not got:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0), 0.0)

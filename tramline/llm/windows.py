@@ -28,6 +28,8 @@ CHUNK = 16
 MIN_BITS = 20
 #: At most 2 rows of 2 ** 29 cells, one bit each: 128 MB.
 MAX_BITS = 29
+#: A task hands on its part of the sketch after so many anchors.
+FLUSH = 1 << 21
 _SALT = [U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)]
 
 
@@ -80,13 +82,20 @@ def repeated_cells(texts: DataFrame, split: Split, width: int, gram: int, bits:
     """The merged sketch of the single text column: ROWS x 2 ** bits bits, packed."""
 
     def partition_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        seen, held = [], 0
         for batch in batches:
             data, offsets = textnum.buffers(batch.column(0))
             for a, b in textnum.pieces(offsets):
                 p = anchored(*split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), width, gram)
                 seen.append(p.anchor[changes(p)])
-        anchors = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+                held += len(seen[-1])
+                if held > FLUSH:
+                    yield from counted(np.concatenate(seen))
+                    seen, held = [], 0
+        if held:
+            yield from counted(np.concatenate(seen))
+
+    def counted(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
         for row in range(ROWS):
             cell = np.sort(_cells(anchors, row, bits))
             head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
