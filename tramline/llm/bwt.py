@@ -49,6 +49,8 @@ def boundaries(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     ``text`` ends in at least one zero byte, and no window of interest holds a zero.
     """
+    if not 8 <= width < DEPTH:
+        raise ValueError(f"strings of 8 to {DEPTH - 1} bytes can be told apart, not of {width}")
     n = len(text)
     order, head = suffix_order(text)
     last = text[order - 1]

@@ -83,8 +83,8 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     found = shared.written(rows.mapInArrow(runs, _RUNS), "runs")
     sketch.destroy()
     holder = found.groupBy("c1", "c2").agg(F.min("id").alias("holder"))
-    later = shared.written(found.select("c1", "c2", "id", "key", "at", "n").join(holder, ["c1", "c2"]).where("id > holder").select("id", "key", "at", "n"), "later")
-    own = shared.written(found.join(holder, ["c1", "c2"]).where("id = holder").select("id", "key", "at", "body"), "holders")
+    placed = shared.written(found.join(holder, ["c1", "c2"]).select("id", "key", "at", "n", F.when(F.col("id") == F.col("holder"), F.col("body")).alias("body")), "placed")
+    later, own = placed.where("body is null").select("id", "key", "at", "n"), placed.where("body is not null").select("id", "key", "at", "body")
     shared.discard(found)
     bits = windows.sketch_bits(windows.total_bytes(own, "body") / 5, 2 / (width - gram + 2), 8)
     again = spark.sparkContext.broadcast(windows.repeated_cells(own.select("body"), _split, width, gram, bits))
@@ -107,7 +107,6 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     each = shared.written(own.mapInArrow(singles, _WINDOWS), "windows")
     again.destroy()
-    shared.discard(own)
     twice = each.groupBy("h1", "h2").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("last > holder").select("h1", "h2", "holder")
     apart = each.join(twice, ["h1", "h2"]).where("id > holder").select("id", "key", "at", F.lit(1).alias("n"))
     return later.unionAll(apart)

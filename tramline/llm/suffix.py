@@ -6,15 +6,18 @@ documents.
 
 1. A sketch of the strings' anchors (``windows``) rules out most of the unique
    strings.  What is left stands in runs that are cut by content.
-2. Runs are grouped exactly by 128-bit hash: all but those of the smallest
-   document go.
-3. The first holders' runs are sketched again; strings whose anchor may
-   stand in two of them are dealt to blocks by anchor.  In each block a
+2. Runs are grouped by 128-bit digest: all but those of the smallest document go.
+3. The first holders' runs are sketched again and cut into segments, one for
+   each anchor.  Equal segments become one, with its smallest document and the
+   number of its places, before anything is dealt.
+4. Distinct segments are dealt to blocks by anchor.  In each block a
    Burrows-Wheeler transform and threshold-bounded interval expansion
    (``bwt``) put equal strings into classes, and the smallest document of a
    class keeps it.
-4. An anchor with more than ``HOT`` segments is dealt to several blocks; their
-   classes meet by hash in a pre-aggregated minimum, so none is gathered whole.
+5. An anchor with more than ``HOT`` distinct segments is dealt to several
+   blocks.  A block gives one row for each of its classes, and rows with the
+   same bytes meet in a pre-aggregated minimum.
+6. What a segment loses goes back to each of its places by its bytes.
 
 Defined cases: a null text is an empty one; a text of fewer than ``width``
 bytes is left alone; rows with equal ids never remove bytes from each other; a
@@ -37,10 +40,11 @@ from . import bwt, shared, textnum, windows
 WIDTH = 50
 CUT_EVERY = 16
 BLOCK_BYTES = 1 << 20
-HOT = 2000
+#: Distinct segments of one anchor that a block takes; at most 2 * WIDTH bytes each.
+HOT = 1 << 14
 _RUNS = "c1 long, c2 long, id long, key long, at int, n int, body binary"
 _SEGMENTS = "anchor long, id long, key long, at int, body binary"
-_FOUND = "hot boolean, h1 long, h2 long, id long, key long, at int, n int"
+_CLASSED = "body binary, runs array<struct<at: int, n: int, low: bigint>>, string binary, low long, times long, members array<struct<body: binary, at: int>>"
 
 
 def _gram(width: int) -> int:
@@ -51,8 +55,7 @@ def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return textnum.byte_values(data, 0), offsets
 
 
-def _slices(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    raw = data.tobytes()
+def _slices(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     return pa.array([raw[s:e] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
 
 
@@ -76,19 +79,21 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 if not len(c.lo):
                     continue
                 lo, hi = p.at[c.lo], p.at[c.hi - 1] + width
-                whole = [textnum.spans_hash(textnum.prefix(v, w), lo, hi, w).view(np.int64) for w, v in enumerate((values, textnum.byte_values(d, 1)))]
+                raw = d.tobytes()
+                whole = textnum.digests(raw, lo, hi)
+                body = _slices(raw, lo, hi)
                 owner = p.owner[c.lo]
                 take = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[0]), pa.array(whole[1]), batch["id"].take(take), batch["key"].take(take), pa.array((lo - o[owner]).astype(np.int32)), pa.array((hi - lo - width + 1).astype(np.int32)), _slices(d, lo, hi)],
+                    [pa.array(whole[:, 0]), pa.array(whole[:, 1]), batch["id"].take(take), batch["key"].take(take), pa.array((lo - o[owner]).astype(np.int32)), pa.array((hi - lo - width + 1).astype(np.int32)), body],
                     ["c1", "c2", "id", "key", "at", "n", "body"],
                 )
 
     found = shared.written(rows.mapInArrow(runs, _RUNS), "runs")
     sketch.destroy()
     holder = found.groupBy("c1", "c2").agg(F.min("id").alias("holder"))
-    later = shared.written(found.select("c1", "c2", "id", "key", "at", "n").join(holder, ["c1", "c2"]).where("id > holder").select("id", "key", "at", "n"), "later")
-    own = shared.written(found.join(holder, ["c1", "c2"]).where("id = holder").select("id", "key", "at", "body"), "holders")
+    placed = shared.written(found.join(holder, ["c1", "c2"]).select("id", "key", "at", "n", F.when(F.col("id") == F.col("holder"), F.col("body")).alias("body")), "placed")
+    later, own = placed.where("body is null").select("id", "key", "at", "n"), placed.where("body is not null").select("id", "key", "at", "body")
     shared.discard(found)
     again = context.broadcast(windows.repeated_cells(own.select("body"), _split, width, gram, windows.sketch_bits(windows.total_bytes(own, "body"), per_unit, 6)))
 
@@ -108,64 +113,71 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 lo, hi = p.at[head], p.at[tail - 1] + width
                 take = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.anchor[head].view(np.int64)), batch["id"].take(take), batch["key"].take(take), pa.array((batch["at"].take(take).to_numpy() + lo - o[owner]).astype(np.int32)), _slices(d, lo, hi)],
+                    [pa.array(p.anchor[head].view(np.int64)), batch["id"].take(take), batch["key"].take(take), pa.array((batch["at"].take(take).to_numpy() + lo - o[owner]).astype(np.int32)), _slices(d.tobytes(), lo, hi)],
                     ["anchor", "id", "key", "at", "body"],
                 )
 
-    # Only the few crowded anchors are looked up; a lookup table is at most 1 / HOT of the segments.
-    parts = own.mapInArrow(segments, _SEGMENTS)
-    crowded = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"), F.sum(F.octet_length("body") + 1).alias("bytes"))
-    crowded = shared.written(crowded.where("crowd > 1"), "crowds")
-    blocks = max(1, -(-(crowded.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
-    hot = crowded.where(F.col("crowd") > HOT).select("anchor", F.ceil(F.col("crowd") / HOT).alias("deals"))
-    dealt = parts.join(hot, "anchor", "left").withColumn("hot", F.col("deals").isNotNull())
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("anchor", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "at"), "deals"))), F.lit(blocks)))
+    places = shared.written(own.mapInArrow(segments, _SEGMENTS), "segments")
+    again.destroy()
+    # The bytes of a segment settle its anchor.
+    kinds = shared.written(places.groupBy("anchor", "body").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")), "segment-kinds")
+    blocks = max(1, -(-(kinds.agg(F.sum(F.octet_length("body") + 1)).first()[0] or 0) // BLOCK_BYTES))
+    # At most 1 / HOT of the segments' anchors.
+    hot = shared.written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > HOT).select("anchor", F.ceil(F.col("crowd") / HOT).alias("deals")), "hot-anchors")
+    dealt = kinds.join(hot, "anchor", "left").withColumn("hot", F.col("deals").isNotNull())
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("anchor", F.when(F.col("hot"), F.pmod(F.xxhash64("body"), "deals"))), F.lit(blocks)))
 
     def block(table: pa.Table) -> pa.Table:
-        hot, holder, key, at = (table[c].to_numpy() for c in ("hot", "id", "key", "at"))
-        # Equal segments stand in the transform once, for the smallest document that has them.
-        number: dict[bytes, int] = {}
-        own = np.array([number.setdefault(v.as_buffer().to_pybytes(), len(number)) for v in table["body"]], dtype=np.int64)
-        body = list(number)
-        least = np.full(len(body), np.iinfo(np.int64).max)
-        np.minimum.at(least, own, holder)
+        body = [x.as_buffer().to_pybytes() for x in table["body"]]
+        least, times, hot = (table[c].to_numpy() for c in ("low", "times", "hot"))
         segment, offset, kind = bwt.equal_windows(body, width)
         head = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
-        low = np.repeat(np.minimum.reduceat(least[segment], head), np.diff(np.r_[head, len(kind)])) if len(head) else np.zeros(0, np.int64)
-        # Back to the strings of every segment, in order.
-        count = np.array([len(x) - width + 1 for x in body], dtype=np.int64)
-        base = np.cumsum(count) - count
-        lowest = np.empty(len(low), dtype=np.int64)
-        lowest[base[segment] + offset] = low
-        s = np.repeat(np.arange(len(own)), count[own])
-        o = np.arange(len(s)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
-        string = base[own[s]] + o
-        # Classes are complete unless their anchor was dealt to several blocks.
-        done = (lowest[string] < holder[s]) & ~hot[s]
-        more = hot[s]
-        hs, ho = s[more], o[more]
-        s, o = s[done], o[done]
-        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1)]) if len(s) else np.zeros(0, np.int64)
-        run = np.diff(np.r_[first, len(s)])
-        s, o = s[first], o[first]
-        joined = np.frombuffer(b"".join(body), np.uint8)
-        lo = (base + np.arange(len(body)) * (width - 1))[own[hs]] + ho
-        h = [textnum.spans_hash(textnum.prefix(textnum.byte_values(joined, w), w), lo, lo + width, w).view(np.int64) for w in (0, 1)]
-        z = np.zeros(len(s), np.int64)
+        size = np.diff(np.r_[head, len(kind)])
+        low = np.minimum.reduceat(least[segment], head) if len(head) else np.zeros(0, np.int64)
+        often = np.add.reduceat(times[segment], head) if len(head) else np.zeros(0, np.int64)
+        # Classes of one block: back to runs of each segment, in order.
+        show = np.repeat((often > 1) & ~hot[segment[head]], size)
+        s, o, v = segment[show], offset[show], np.repeat(low, size)[show]
+        by = np.lexsort((o, s))
+        s, o, v = s[by], o[by], v[by]
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1) | (v[1:] != v[:-1])]) if len(s) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(s)])
+        s, o, v = s[first], o[first], v[first]
+        own, count = np.unique(s, return_counts=True)
+        runs = pa.StructArray.from_arrays([pa.array(o, pa.int32()), pa.array(n, pa.int32()), pa.array(v, pa.int64())], ["at", "n", "low"])
+        runs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), runs)
+        # Classes of an anchor that several blocks share: one row each.
+        open_ = np.flatnonzero(hot[segment[head]]) if len(head) else head
+        within = np.repeat(hot[segment[head]], size) if len(head) else np.zeros(0, bool)
+        strings = [body[i][k : k + width] for i, k in zip(segment[head[open_]].tolist(), offset[head[open_]].tolist(), strict=True)]
+        members = pa.StructArray.from_arrays([pa.array([body[i] for i in segment[within].tolist()], pa.binary()), pa.array(offset[within], pa.int32())], ["body", "at"])
+        members = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[open_])], pa.int32()), members)
+        a, b = len(own), len(open_)
         return pa.table(
             {
-                "hot": np.r_[np.zeros(len(s), bool), np.ones(len(hs), bool)], "h1": np.r_[z, h[0]], "h2": np.r_[z, h[1]], "id": holder[np.r_[s, hs]], "key": key[np.r_[s, hs]],
-                "at": (at[np.r_[s, hs]] + np.r_[o, ho]).astype(np.int32), "n": np.r_[run, np.ones(len(hs), np.int64)].astype(np.int32),
+                "body": pa.concat_arrays([pa.array([body[i] for i in own.tolist()], pa.binary()), pa.nulls(b, pa.binary())]),
+                "runs": pa.concat_arrays([runs, pa.nulls(b, runs.type)]),
+                "string": pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(strings, pa.binary())]),
+                "low": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(low[open_], pa.int64())]),
+                "times": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(often[open_], pa.int64())]),
+                "members": pa.concat_arrays([pa.nulls(a, members.type), members]),
             }
-        )
-
-    classed = shared.written(dealt.select("block", "hot", "id", "key", "at", "body").groupBy("block").applyInArrow(block, _FOUND), "classes")
-    again.destroy()
-    shared.discard(own)
-    open_ = classed.where("hot")
-    lowest = open_.groupBy("h1", "h2").agg(F.min("id").alias("low"))
-    late = open_.join(lowest, ["h1", "h2"]).where("id > low").select("id", "key", "at", "n")
-    return later.unionAll(classed.where("not hot").select("id", "key", "at", "n")).unionAll(late)
+        )
+
+    classed = shared.written(dealt.select("block", "hot", "body", "low", "times").groupBy("block").applyInArrow(block, _CLASSED), "classes")
+    shared.discard(kinds)
+    lost = classed.where("body is not null").select("body", "runs")
+    if hot.limit(1).count():
+        open_ = classed.where("string is not null").select("string", "low", "times", "members")
+        met = open_.groupBy("string").agg(F.min("low").alias("least"), F.sum("times").alias("all")).where(F.col("all") > 1)
+        strings = open_.join(met, "string").select("least", F.inline("members"))
+        # A segment has at most ``width`` strings.
+        lost = lost.unionAll(strings.groupBy("body").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.col("least").alias("low"))).alias("runs")))
+    hit = places.join(lost, "body").select("id", "key", F.col("at").alias("from"), F.inline("runs")).where("id > low").select("id", "key", (F.col("from") + F.col("at")).alias("at"), "n")
+    hit = shared.written(hit, "removed-strings")
+    shared.discard(places)
+    shared.discard(classed)
+    return later.unionAll(hit)
 
 
 def _cut(text: pa.Array, runs: pa.Array, width: int) -> pa.Array:
