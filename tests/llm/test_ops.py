@@ -194,6 +194,67 @@ def test_sentencepiece_bpe_matches_the_library(spark, docs):
         assert r.back == (None if r.t is None else own.decode(own.encode(r.t)))
 
 
+def test_viterbi_over_the_public_pieces(spark):
+    library = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
+
+    from tramline.llm.queries import PIECE_MODEL
+
+    with open(PIECE_MODEL, "rb") as f:
+        raw = f.read()
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(raw)
+    proto.trainer_spec.model_type = sentencepiece.UNIGRAM
+    other = library.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    own = library.SentencePieceProcessor(model_file=PIECE_MODEL)
+    p = sentencepiece.parse(raw)
+    texts = ["", "a", "  two  spaces ", "x" * 96 + " " + "y" * 97 + "xy" * 60, "日本語のテキスト 🎉", "Ünïcödé " * 5, "word and another word, " * 300] + [t or "" for _, t in rows()]
+    (merged, edge), (best, cut) = sentencepiece.encode_batch(p, pa.array(texts), (sentencepiece.BPE, sentencepiece.UNIGRAM))
+    for k, t in enumerate(texts):
+        assert merged[edge[k] : edge[k + 1]].tolist() == own.encode(t)
+        mine, theirs = best[cut[k] : cut[k + 1]], other.encode(t)
+        assert p.score[mine].sum() >= p.score[theirs].sum()  # the library sums in single precision
+        assert sentencepiece.decode_batch(p, mine, np.array([0, len(mine)])) == [own.decode(own.encode(t))]
+
+
+def _twins():
+    """Two different words of 1024 letters that every sum of powers takes for one."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_twin_words_stay_apart(spark):
+    from tramline.llm.queries import PIECE_MODEL
+
+    x, y = _twins()
+    p = sentencepiece.load(spark, PIECE_MODEL)
+    flat, edge = sentencepiece.encode_batch(p, pa.array([x, y]))[0]
+    assert sentencepiece.decode_batch(p, flat, edge) == [x, y]
+    rest = " ".join(f"w{k}" for k in range(49))
+    docs_ = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x), (4, y), (5, x)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n for r in substring.remove_repeats(docs_).selectExpr("doc_id", "dedup.n_removed as n").collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert {r.doc_id: r.class_id for r in minhash.near_copies(docs_.where("doc_id > 2")).collect()} == {3: 3, 4: 4, 5: 3}
+    texts = dict(docs_.collect())
+    first = {}
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - 49):
+            first.setdefault(texts[i][k : k + 50], i)
+    for r in suffix.remove_repeats(docs_).selectExpr("doc_id", "dedup.n_removed as n").collect():
+        t = texts[r.doc_id]
+        gone = {j for k in range(len(t) - 49) if first[t[k : k + 50]] < r.doc_id for j in range(k, k + 50)}
+        assert r.n == len(gone)
+
+
+def test_crowded_places_are_dealt(spark, docs, monkeypatch):
+    """Block bounds of a few rows change nothing in what is found."""
+    whole = [sorted(map(tuple, minhash.near_copies(docs).collect()), key=repr), sorted(map(tuple, suffix.remove_repeats(docs, width=20).select("doc_id", "dedup.n_removed").collect()), key=repr)]
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(suffix, "HOT", 2)
+    assert whole == [sorted(map(tuple, minhash.near_copies(docs).collect()), key=repr), sorted(map(tuple, suffix.remove_repeats(docs, width=20).select("doc_id", "dedup.n_removed").collect()), key=repr)]
+
+
 def test_viterbi_against_brute_force():
     text = ["<unk>", "a", "b", "c", "ab", "bc", "abc", "ca", " ", " a", " ab"]
     score = -np.array([0, 3, 3.1, 2.9, 4, 4.2, 6.5, 5, 2, 4.5, 6])
@@ -212,7 +273,7 @@ def test_viterbi_against_brute_force():
         return top[-1][0]
 
     for s in ("abc", "abcab cab", "bca ab c", "zab", "abcabcabc"):
-        flat, _ = sentencepiece.encode_batch(p, pa.array([s]))
+        flat, _ = sentencepiece.encode_batch(p, pa.array([s]))[0]
         assert abs(sum(known.get(text[i], score[1:].min() - 10) for i in flat) - best(" " + s)) < 1e-6
 
 

@@ -43,12 +43,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether decoding gives its text back."""
+    """Ids of every document, and whether decoding gives its text back.
+
+    The public model is a byte-pair one: ``ids`` are its merges, as the format
+    has it; ``viterbi_ids`` are the best path over the same pieces and scores.
+    """
     docs = _documents(spark, sf_dir)
     model = sentencepiece.load(spark, PIECE_MODEL)
-    coded = docs.withColumn("ids", sentencepiece.encode(model, "text"))
-    coded = coded.withColumn("decoded", sentencepiece.decode(model, "ids"))
-    return coded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = docs.withColumn("coded", sentencepiece.encode_both(model, "text"))
+    same = [sentencepiece.decode(model, f"coded.{c}").eqNullSafe(F.col("text")) for c in ("merged", "best")]
+    return coded.select("doc_id", F.size("coded.merged").alias("n_tokens"), F.col("coded.merged").alias("ids"), same[0].alias("round_trip"), F.col("coded.best").alias("viterbi_ids"), same[1].alias("viterbi_round_trip"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

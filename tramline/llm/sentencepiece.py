@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding in numpy batches.
 
-A model is read from its file into sorted 64-bit keys of the pieces' bytes.  A
-batch's texts are cut into words where no piece can reach across; each
+A model is read from its file into sorted 64-bit keys of the pieces' characters.
+A batch's texts are cut into words where no piece can reach across; each
 distinct word is encoded once, and words of equal length advance together: the
-hashes of all their substrings probe the sorted keys, and
+hashes of all their substrings, each made from the one a character shorter,
+probe the sorted keys, and
 
 * for unigram models a Viterbi pass moves over the positions, its vectorised
   maxima storing the length of the best last piece as a backpointer;
@@ -12,19 +13,27 @@ hashes of all their substrings probe the sorted keys, and
   a vectorised maximum over the same probes and merges it.  Words of
   more than ``LONG`` characters merge by a heap, which takes the same steps.
 
+Both may be had from one set of probes (``encode_both``): the merges of a
+byte-pair model, and the best path over the same pieces and scores.
+
+Hashes only find: words that are taken for equal, and the pieces of each word,
+are compared with the text byte by byte.
+
 Characters without a piece become byte pieces where the model has them, else
 the unknown piece (one for a run of them).
 
-Defined cases: a null text has null ids, an empty one none; models that rewrite
-characters before encoding (a precompiled map) are refused; ids outside the
-vocabulary are an error; decoding replaces bytes that aren't UTF-8.
+Defined cases: a null text has null ids, an empty one none; very long texts and
+words are encoded whole; repeated rows have equal ids; an empty table gives an
+empty result; models that rewrite characters before encoding (a precompiled map)
+are refused; ids outside the vocabulary are an error; decoding replaces bytes
+that aren't UTF-8.  Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +46,8 @@ from . import textnum
 U = np.uint64
 BATCH_BYTES = 1 << 22
 LONG = 96
+#: Probes that stand in memory at a time, and the high bits by which keys are found.
+PROBES, SLOT_BITS = 1 << 20, 20
 UNKNOWN_PENALTY = 10.0
 _SPACE = b"\xe2\x96\x81"
 # Fixed values of the model file's format: kinds of pieces, kinds of models.
@@ -58,20 +69,25 @@ class Pieces:
     def __post_init__(self) -> None:
         own = [i for i, k in enumerate(self.kind) if k in (NORMAL, USER) and self.text[i]]
         key = _keys([self.text[i] for i in own])
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")
         put = object.__setattr__
         put(self, "key", key[order])
         put(self, "id", np.array(own, dtype=np.int32)[order])
         chars = [len(self.text[i].decode("utf-8", "replace")) for i in own]
         put(self, "longest", max(chars, default=1))
-        seen = np.zeros(1 << 22, dtype=bool)
-        seen[(key >> U(42)).astype(np.int64)] = True
-        put(self, "seen", seen)
+        # Where the keys with the same high bits begin.
+        slot = np.searchsorted(key[order] >> U(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        put(self, "slot", slot)
+        put(self, "gain", np.r_[-np.inf, self.score])  # by id + 1
         put(self, "unk", int(np.flatnonzero(self.kind == UNKNOWN)[0]) if (self.kind == UNKNOWN).any() else 0)
         byte = np.full(256, -1, dtype=np.int32)
         for i in np.flatnonzero(self.kind == BYTE):
             byte[int(self.text[i][3:5], 16)] = i
         put(self, "byte", byte)
+        size = np.array([len(t) for t in self.text], dtype=np.int64)
+        put(self, "pool", np.frombuffer(b"".join(self.text), np.uint8))
+        put(self, "sizes", size)
+        put(self, "bases", np.cumsum(size) - size)
         put(self, "least", float(min((self.score[i] for i in own), default=0.0)))
         long = [self.text[i] for i, c in zip(own, chars, strict=True) if c > 1]
         # Words may be cut before a run of spaces if no piece has one after another character ...
@@ -83,10 +99,44 @@ class Pieces:
         put(self, "alone", ~inside)
 
 
+def _characters(data: np.ndarray) -> np.ndarray:
+    """The bytes of the character that begins at each place, as one number."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    lead = data >= 0xC0
+    size = np.ones(len(data), dtype=np.int64)
+    size[lead] = 2
+    size[data >= 0xE0] = 3
+    size[data >= 0xF0] = 4
+    out = data.astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[more] |= padded[more + k].astype(np.uint64) << U(8 * k)
+    return out
+
+
+def _hashes(chars: np.ndarray, reach: int) -> Iterator[np.ndarray]:
+    """For each length up to ``reach``: hashes of the substrings from each place
+    of words that stand in columns, one character a row."""
+    one = textnum.mix(chars + U(0x2545F4914F6CDD1D))
+    level = one
+    yield level
+    for m in range(2, reach + 1):
+        level = textnum.joined(level[:-1], one[m - 1 :])
+        yield level
+
+
 def _keys(texts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(texts), np.uint8)
-    edge = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    return textnum.spans_hash(textnum.prefix(textnum.byte_values(data, 0), 0), edge[:-1], edge[1:], 0)
+    start = np.flatnonzero(np.r_[(data & 0xC0) != 0x80, True])
+    edge = np.searchsorted(start, np.r_[0, np.cumsum([len(t) for t in texts])])
+    code, size = _characters(data), np.diff(edge)
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        *_, whole = _hashes(code[start[edge[own] + np.arange(n)[:, None]]], int(n))
+        out[own] = whole[0]
+    return out
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -146,79 +196,106 @@ def load(spark: SparkSession, path: str) -> Pieces:
 
 def _probe(p: Pieces, key: np.ndarray) -> np.ndarray:
     """The id of each key's piece, or -1."""
-    out = np.full(key.shape, -1, dtype=np.int32)
-    hit = np.flatnonzero(p.seen[(key >> U(42)).astype(np.int64)])
-    if len(hit):
-        want = key[hit]
-        at = np.minimum(np.searchsorted(p.key, want), len(p.key) - 1)
+    flat = key.ravel()
+    out = np.full(len(flat), -1, dtype=np.int32)
+    place = (flat >> U(64 - SLOT_BITS)).astype(np.int32)
+    at = p.slot[place]
+    some = np.flatnonzero(p.slot[1:][place] > at)
+    at, end, want = at[some], p.slot[place[some] + 1], flat[some]
+    while len(some):
         same = p.key[at] == want
-        out[hit[same]] = p.id[at[same]]
-    return out
-
+        out[some[same]] = p.id[at[same]]
+        at += 1
+        more = ~same & (at < end)
+        some, at, end, want = some[more], at[more], end[more], want[more]
+    return out.reshape(key.shape)
 
-def _table(p: Pieces, pre: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """ids[w, s, m - 1]: the piece of m characters from character s of word w, or -1.
 
-    ``edge``: byte positions of each word's characters, and its end."""
-    words, size = edge.shape[0], edge.shape[1] - 1
+def _table(p: Pieces, chars: np.ndarray) -> np.ndarray:
+    """ids[m - 1, s, w]: the piece of m characters from character s of word w, or -1."""
+    size, words = chars.shape
     reach = min(size, p.longest)
-    out = np.full((words, size, reach), -1, dtype=np.int32)
-    for m in range(1, reach + 1):
-        lo, hi = edge[:, : size - m + 1], edge[:, m:]
-        out[:, : size - m + 1, m - 1] = _probe(p, textnum.spans_hash(pre, lo.ravel(), hi.ravel(), 0)).reshape(lo.shape)
+    out = np.full((reach, size, words), -1, dtype=np.int32)
+    for m, key in enumerate(_hashes(chars, reach)):
+        out[m, : size - m] = _probe(p, key)
     return out
 
 
-def viterbi(table: np.ndarray, score: np.ndarray, unknown: float) -> np.ndarray:
-    """bounds[w, s]: true where the best path of word w starts a piece at s."""
-    words, size, reach = table.shape
-    best = np.full((words, size + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((words, size + 1), dtype=np.int32)
+def viterbi(table: np.ndarray, gain: np.ndarray, unknown: float) -> np.ndarray:
+    """starts[s, w]: true where the best path of word w starts a piece at s; ``gain`` by id + 1."""
+    reach, size, words = table.shape
+    best = np.full((size + 1, words), -np.inf)
+    best[0] = 0
+    back = np.zeros((size + 1, words), dtype=np.int32)
     for end in range(1, size + 1):
-        span = np.arange(min(reach, end), 0, -1)  # longer pieces first: they win ties
-        ids = table[:, end - span, span - 1]
-        gain = np.where(ids >= 0, score[ids], -np.inf)
-        gain[:, -1] = np.where(ids[:, -1] >= 0, gain[:, -1], unknown)
-        total = best[:, end - span] + gain
-        pick = np.argmax(total, axis=1)
-        best[:, end] = total[np.arange(words), pick]
-        back[:, end] = span[pick]
-    starts = np.zeros((words, size), dtype=bool)
+        top = np.full(words, -np.inf)
+        for m in range(1, min(reach, end) + 1):
+            ids = table[m - 1, end - m]
+            total = gain[ids + 1]
+            if m == 1:
+                total = np.where(ids >= 0, total, unknown)
+            total += best[end - m]
+            better = total >= top  # longer pieces win ties
+            if m > 1:
+                better &= ids >= 0
+            np.copyto(top, total, where=better)
+            np.copyto(back[end], m, where=better)
+        best[end] = top
+    starts = np.zeros((size, words), dtype=bool)
     at = np.full(words, size)
     while (go := np.flatnonzero(at > 0)).size:
-        at[go] -= back[go, at[go]]
-        starts[go, at[go]] = True
+        at[go] -= back[at[go], go]
+        starts[at[go], go] = True
     return starts
 
 
-def merges(table: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """bounds[w, s] after merging each word's best pair of neighbours, again and again."""
-    words, size, reach = table.shape
-    gain = np.where(table >= 0, score[table], -np.inf)
-    end = np.broadcast_to(np.arange(1, size + 1), (words, size)).copy()
-    starts = np.ones((words, size), dtype=bool)
+def merges(table: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """starts[s, w] after merging each word's best pair of neighbours, again and again."""
+    reach, size, words = table.shape
+    starts = np.ones((size, words), dtype=bool)
+    if size < 2:
+        return starts
+    after = np.repeat(np.arange(1, size + 2)[:, None], words, axis=1)  # the piece behind the one at s
+    before = np.repeat(np.arange(-1, size)[:, None], words, axis=1)
+
+    def pair(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the piece at s and the one behind it gain as one."""
+        e = after[s, w]
+        f = after[np.minimum(e, size), w]
+        m = f - s
+        good = (e < size) & (m <= reach)
+        ids = table[np.where(good, m, 1) - 1, s, w]
+        return np.where(good, gain[ids + 1], -np.inf)
+
+    value = np.full((size, words), -np.inf)
+    value[: size - 1] = gain[table[1, : size - 1] + 1]
     live = np.arange(words)
-    while live.size and size > 1:
-        own, begin = end[live], starts[live]
-        far = np.take_along_axis(own, np.minimum(own, size - 1), axis=1)
-        length = far - np.arange(size)
-        good = begin & (own < size) & (length <= reach)
-        pick = np.take_along_axis(gain[live], np.clip(length - 1, 0, reach - 1)[:, :, None], axis=2)[:, :, 0]
-        pick = np.where(good, pick, -np.inf)
-        at = np.argmax(pick, axis=1)
-        row = np.arange(live.size)
-        ok = pick[row, at] > -np.inf
-        live, row, at = live[ok], row[ok], at[ok]
-        second = own[row, at]
-        end[live, at] = far[row, at]
-        starts[live, second] = False
+    while len(live):
+        top, at = value[0, live], np.zeros(len(live), dtype=np.int64)
+        for s in range(1, size - 1):
+            own = value[s, live]
+            better = own > top
+            np.copyto(top, own, where=better)
+            at[better] = s
+        go = top > -np.inf
+        live, at = live[go], at[go]
+        second = after[at, live]
+        end = after[second, live]
+        after[at, live] = end
+        starts[second, live] = False
+        value[second, live] = -np.inf
+        inner = end < size
+        before[end[inner], live[inner]] = at[inner]
+        value[at, live] = pair(at, live)
+        left = before[at, live]
+        has = left >= 0
+        value[left[has], live[has]] = pair(left[has], live[has])
     return starts
 
 
-def _heap_merges(table: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """The same for one long word, in the order of a heap."""
-    size, reach = table.shape
+def _heap_merges(table: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The same for one long word, table[m - 1, s], in the order of a heap."""
+    reach, size = table.shape
     end, before, starts = list(range(1, size + 1)), list(range(-1, size - 1)), np.ones(size, dtype=bool)
     heap: list[tuple[float, int, int, int]] = []
 
@@ -226,8 +303,8 @@ def _heap_merges(table: np.ndarray, score: np.ndarray) -> np.ndarray:
         if s >= 0 and end[s] < size:
             e = end[s]
             f = end[e]
-            if f - s <= reach and table[s, f - s - 1] >= 0:
-                heapq.heappush(heap, (-score[table[s, f - s - 1]], s, e, f))
+            if f - s <= reach and table[f - s - 1, s] >= 0:
+                heapq.heappush(heap, (-gain[table[f - s - 1, s] + 1], s, e, f))
 
     for s in range(size):
         offer(s)
@@ -259,59 +336,85 @@ def _words(p: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return edge[:-1], edge[1:]
 
 
-def _encode_words(p: Pieces, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, edges) of the given spans."""
-    pre = textnum.prefix(textnum.byte_values(data, 0), 0)
+def _pieces(p: Pieces, data: np.ndarray, edge: np.ndarray, table: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column, id) of the pieces that begin at ``starts``, in order."""
+    size = len(starts)
+    row, s = np.nonzero(starts.T)
+    nxt = np.where(np.r_[row[1:], -1] == row, np.r_[s[1:], size], size)
+    ids = table[nxt - s - 1, s, row]
+    lo, hi = edge[s, row], edge[nxt, row]
+    known = ids >= 0
+    # The hashes found these pieces; their bytes must be the text's.
+    n, base = p.sizes[ids[known]], p.bases[ids[known]]
+    total = np.cumsum(n)
+    flat = np.arange(total[-1] if len(total) else 0)
+    if (n != hi[known] - lo[known]).any() or (p.pool[flat + np.repeat(base - (total - n), n)] != data[flat + np.repeat(lo[known] - (total - n), n)]).any():
+        raise ArithmeticError("two pieces have one 64-bit key; change the key's constant")
+    if known.all():
+        return row, ids
+    if (p.byte >= 0).all():  # byte pieces in place of a character without a piece
+        times = np.where(known, 1, hi - lo)
+        spread = np.repeat(np.arange(len(ids)), times)
+        inner = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
+        place = np.minimum(lo[spread] + inner, len(data) - 1)
+        return row[spread], np.where(known[spread], ids[spread], p.byte[data[place]])
+    keep = np.ones(len(ids), dtype=bool)
+    keep[1:] = ~(~known[1:] & ~known[:-1] & (row[1:] == row[:-1]))
+    return row[keep], np.where(known[keep], ids[keep], p.unk)
+
+
+def _encode_words(p: Pieces, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, models: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each model kind, (flat ids, edges) of the given spans."""
     start = np.r_[(data & 0xC0) != 0x80, True]
     char = np.flatnonzero(start)
     rank = np.cumsum(start) - 1
+    code = _characters(data)
     first, chars = rank[lo], rank[hi] - rank[lo]
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, place, id
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in models]  # word, id
     for size in np.unique(chars):
         own = np.flatnonzero(chars == size)
-        step = max(1, 2_000_000 // (int(size) * min(int(size), p.longest)))
+        step = max(1, PROBES // (int(size) * min(int(size), p.longest)))
         for at in range(0, len(own), step):
             w = own[at : at + step]
-            edge = char[first[w][:, None] + np.arange(size + 1)]
-            table = _table(p, pre, edge)
-            if p.model == UNIGRAM:
-                bounds = viterbi(table, p.score, p.least - UNKNOWN_PENALTY)
-            elif size <= LONG:
-                bounds = merges(table, p.score)
-            else:
-                bounds = np.stack([_heap_merges(t, p.score) for t in table])
-            row, s = np.nonzero(bounds)
-            nxt = np.r_[s[1:], size]
-            nxt = np.where(np.r_[row[1:], -1] == row, nxt, size)
-            ids = table[row, s, nxt - s - 1]
-            bad = np.flatnonzero(ids < 0)
-            if len(bad):  # byte pieces in place of a character without a piece
-                b0, b1 = edge[row[bad], s[bad]], edge[row[bad], nxt[bad]]
-                if (p.byte >= 0).all():
-                    times = np.ones(len(ids), dtype=np.int64)
-                    times[bad] = b1 - b0
-                    spread = np.repeat(np.arange(len(ids)), times)
-                    inner = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
-                    place = edge[row[spread], s[spread]] + inner
-                    lost = ids[spread] < 0
-                    row, s, ids = row[spread], s[spread] * 8 + inner, np.where(lost, p.byte[data[np.minimum(place, len(data) - 1)]], ids[spread])
+            edge = char[first[w] + np.arange(size + 1)[:, None]]
+            table = _table(p, code[edge[:-1]])
+            for model, got in zip(models, parts, strict=True):
+                if model == UNIGRAM:
+                    starts = viterbi(table, p.gain, p.least - UNKNOWN_PENALTY)
+                elif size <= LONG:
+                    starts = merges(table, p.gain)
                 else:
-                    keep = np.ones(len(ids), dtype=bool)
-                    keep[1:] = ~((ids[1:] < 0) & (ids[:-1] < 0) & (row[1:] == row[:-1]))
-                    row, s, ids = row[keep], s[keep] * 8, np.where(ids[keep] < 0, p.unk, ids[keep])
-            parts.append((w[row], np.arange(len(row)), ids))
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(len(lo) + 1, np.int64)
-    word = np.concatenate([x[0] for x in parts])
-    ids = np.concatenate([x[2] for x in parts])
-    order = np.argsort(word, kind="stable")
-    return ids[order].astype(np.int32), np.r_[0, np.cumsum(np.bincount(word, minlength=len(lo)))]
-
-
-def encode_batch(p: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, edges) of whole texts."""
+                    starts = np.stack([_heap_merges(table[:, :, k], p.gain) for k in range(len(w))], axis=1)
+                row, ids = _pieces(p, data, edge, table, starts)
+                got.append((w[row], ids))
+    out = []
+    for got in parts:
+        word = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.int64)
+        ids = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int32)
+        out.append((ids[np.argsort(word, kind="stable")].astype(np.int32), np.r_[0, np.cumsum(np.bincount(word, minlength=len(lo)))]))
+    return out
+
+
+def _distinct(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct span, which of them each span is)."""
+    _, at, inverse = np.unique(textnum.span_hashes(data, lo, hi), return_index=True, return_inverse=True)
+    like, size = at[inverse], hi - lo
+    differ = size != size[like]
+    total = np.cumsum(size)
+    flat = np.arange(total[-1] if len(total) else 0)
+    far = np.minimum(flat + np.repeat(lo[like] - (total - size), size), len(data) - 1)
+    wrong = data[flat + np.repeat(lo - (total - size), size)] != data[far]
+    differ[np.repeat(np.arange(len(lo)), size)[wrong]] = True
+    odd = np.flatnonzero(differ)  # equal hashes, other bytes: each stands for itself
+    inverse[odd] = len(at) + np.arange(len(odd))
+    return np.r_[at, odd], inverse
+
+
+def encode_batch(p: Pieces, texts: pa.Array, models: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each model kind (the model's own if none is given), (flat ids, edges) of whole texts."""
+    models = models or (p.model,)
     data, offsets = textnum.buffers(texts)
-    flat, sizes = [], []
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in models]
     for a, b in textnum.pieces(offsets, BATCH_BYTES):
         raw = [data[offsets[k] : offsets[k + 1]].tobytes().replace(_SPACE, b" ") for k in range(a, b)]
         if p.squeeze:
@@ -321,25 +424,21 @@ def encode_batch(p: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         own = np.frombuffer(b"".join(raw), np.uint8)
         edge = np.r_[0, np.cumsum([len(t) for t in raw])].astype(np.int64)
         lo, hi = _words(p, own, edge)
-        h = textnum.spans_hash(textnum.prefix(textnum.byte_values(own, 1), 1), lo, hi, 1)
-        _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        ids, cut = _encode_words(p, own, lo[at], hi[at])
-        size = np.diff(cut)[inverse]
-        total = np.r_[0, np.cumsum(size)]
-        take = np.arange(total[-1]) + np.repeat(cut[:-1][inverse] - total[:-1], size)
-        got = ids[take]
-        ends = total[np.searchsorted(lo, edge, "left")]
-        if not (p.byte >= 0).all() and len(got):  # a run of unknown pieces is one, across words too
-            keep = np.ones(len(got), dtype=bool)
-            keep[1:] = ~((got[1:] == p.unk) & (got[:-1] == p.unk))
-            keep[ends[:-1][ends[:-1] < len(got)]] = True
-            ends = np.r_[0, np.cumsum(keep)][ends]
-            got = got[keep]
-        flat.append(got)
-        sizes.append(np.diff(ends))
-    if not flat:
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    return np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(sizes))]
+        at, inverse = _distinct(own, lo, hi)
+        of_text = np.searchsorted(lo, edge, "left")
+        for put, (ids, cut) in zip(out, _encode_words(p, own, lo[at], hi[at], models), strict=True):
+            size = np.diff(cut)[inverse]
+            total = np.r_[0, np.cumsum(size)]
+            got = ids[np.arange(total[-1]) + np.repeat(cut[:-1][inverse] - total[:-1], size)]
+            ends = total[of_text]
+            if not (p.byte >= 0).all() and len(got):  # a run of unknown pieces is one, across words too
+                keep = np.ones(len(got), dtype=bool)
+                keep[1:] = ~((got[1:] == p.unk) & (got[:-1] == p.unk))
+                keep[ends[:-1][ends[:-1] < len(got)]] = True
+                ends = np.r_[0, np.cumsum(keep)][ends]
+                got = got[keep]
+            put.append((got, np.diff(ends)))
+    return [(np.concatenate([x[0] for x in put]), np.r_[0, np.cumsum(np.concatenate([x[1] for x in put]))]) if put else (np.zeros(0, np.int32), np.zeros(1, np.int64)) for put in out]
 
 
 def decode_batch(p: Pieces, flat: np.ndarray, edges: np.ndarray) -> list[str]:
@@ -366,18 +465,34 @@ def decode_batch(p: Pieces, flat: np.ndarray, edges: np.ndarray) -> list[str]:
     return texts
 
 
+def _lists(got: tuple[np.ndarray, np.ndarray], texts: pa.Array) -> pa.Array:
+    flat, edges = got
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat), mask=texts.is_null() if texts.null_count else None)
+
+
 def encode(model: Pieces, text: str | Column) -> Column:
     """The ids of each whole text."""
     shared_model = SparkSession.active().sparkContext.broadcast(model)
 
     @F.arrow_udf("array<int>")
     def sentencepiece_ids(texts: pa.Array) -> pa.Array:
-        flat, edges = encode_batch(shared_model.value, texts)
-        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat), mask=texts.is_null() if texts.null_count else None)
+        return _lists(encode_batch(shared_model.value, texts)[0], texts)
 
     return sentencepiece_ids(text)
 
 
+def encode_both(model: Pieces, text: str | Column) -> Column:
+    """struct(merged, best) of each whole text: ids by byte-pair merges, and of the
+    best-scoring path by Viterbi, over one vocabulary."""
+    shared_model = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<merged: array<int>, best: array<int>>")
+    def sentencepiece_both(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([_lists(x, texts) for x in encode_batch(shared_model.value, texts, (BPE, UNIGRAM))], ["merged", "best"])
+
+    return sentencepiece_both(text)
+
+
 def decode(model: Pieces, ids: str | Column) -> Column:
     """The text of each id sequence."""
     shared_model = SparkSession.active().sparkContext.broadcast(model)
