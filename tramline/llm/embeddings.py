@@ -1,27 +1,30 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
-Each unit vector is rotated at random a few times; the signs of a rotation are
-its code, and the inner product of the vector with its own code vector is
-stored as the correction factor.  The unbiased estimate of a pair's cosine,
-<code, other> / factor, and its confidence bound are not computed: a bound that
-holds with certainty replaces them,
-
-    cos <= f * g + sqrt(1 - f^2) * sqrt(1 - g^2),   f = <code, own>, g = <code, other>
-
-(both are projections onto one unit vector).  Only pairs whose bound reaches the threshold are recomputed exactly,
-in double precision, so the codes never lose or add a link.
-
-Candidates come from bands of code bits.  The number of bits follows the
-number of vectors and the number of bands follows from the bits, so that a pair right at
-the threshold is missed with probability ``MISS`` (closer pairs far more
-rarely).  A pair is counted in the first band that both share.  Buckets of more
-than ``BLOCK`` vectors are dealt to pairs of blocks, so none is gathered whole;
-tasks return counts and a spanning star per block, never pairs.
+Each unit vector is rotated at random; the signs of the rotated vector are its
+code, and the inner product of the vector with its own code vector, the
+correction factor f, is stored with it.  For a code x and another unit vector b
+
+    <x, b> = f * cos + sqrt(1 - f^2) * sqrt(1 - cos^2) * r
+
+where r, over the random rotation, is the inner product of two independent
+directions: <x, b> / f estimates the cosine without bias, and r stays below
+``SIGMAS`` / sqrt(size - 1) but with probability ``2e-9``.  Pairs whose upper
+confidence bound reaches the threshold are recomputed in double precision and
+link by that value; the others don't link.
+
+Candidates come from bands of code bits, of as many rotations as they need.
+The number of bits follows the number of vectors and the number of bands
+follows from the bits, so that a pair right at the threshold is missed with
+probability ``MISS`` (closer pairs far more rarely).  A pair is counted in the
+first band that both share.  Small buckets are searched many in one task;
+those of more than ``BLOCK`` vectors are dealt to pairs of blocks, so none is
+gathered whole.  Tasks return counts and a spanning star, never pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or
 non-finite component, and rows with a null label, link with nothing; vectors of different
-length don't link; equal vectors with equal labels link with each other;
-an empty table gives an empty result; extra columns are ignored.
+length don't link; equal vectors with equal labels link with each other; rows
+with equal ids are vectors of their own; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,10 @@ from . import components, shared
 
 THRESHOLD = 0.98
 MISS = 1e-6
-BLOCK = 512
+SIGMAS = 6.0
+BLOCK = 2048
+#: Buckets up to this size are searched together, by shifted comparison.
+SMALL = 32
 
 
 def plan(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -56,42 +62,80 @@ def rotations(size: int, times: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.normal(size=(size, size)))[0] for _ in range(times)])
 
 
-def _vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_buffer(), np.float64) for v in column]
-
-
 def codes(unit: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signs, factors, band keys) of unit vectors of one length."""
+    """(packed signs and factors of the first rotation, band keys) of unit vectors of one length."""
     size = unit.shape[1]
-    turned = np.einsum("rij,nj->nri", rotations(size, -(-bits * bands // size)), unit)
-    signs = turned > 0
-    factors = np.abs(turned).sum(axis=2) / np.sqrt(size)
-    flat = signs.reshape(len(unit), -1)[:, : bits * bands].reshape(len(unit), bands, bits)
-    return signs, factors, flat.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-
-
-def linked(unit: np.ndarray, raw: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, bits: int, bands: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (left[i], right[j]) that link and whose first shared band is ``band``."""
-    signs, factors, keys = codes(unit, bits, bands)
-    size = unit.shape[1]
-    turn = rotations(size, factors.shape[1])
-    maybe = np.ones((len(left), len(right)), dtype=bool)
-    for r in range(factors.shape[1]):
-        own = np.where(signs[left, r], 1.0, -1.0) / np.sqrt(size)
-        g = own @ (unit[right] @ turn[r].T).T
-        f = factors[left, r][:, None]
-        maybe &= f * g + np.sqrt(np.maximum(1 - f * f, 0)) * np.sqrt(np.maximum(1 - g * g, 0)) >= threshold - 1e-9
-    i, j = np.nonzero(maybe)
-    i, j = left[i], right[j]
-    keep = i != j if left is not right else i < j
-    i, j = i[keep], j[keep]
-    if len(i):
-        first = np.argmax(keys[i] == keys[j], axis=1)
-        own = (first == band) & (keys[i, band] == keys[j, band])
-        i, j = i[own], j[own]
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    exact = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j])
-    return i[exact >= threshold], j[exact >= threshold]
+    times = -(-bits * bands // size)
+    turned = unit @ rotations(size, times).reshape(times * size, size).T
+    flat = (turned > 0)[:, : bits * bands].reshape(len(unit), bands, bits)
+    factor = np.abs(turned[:, :size]).sum(axis=1) / np.sqrt(size)
+    return np.packbits(turned[:, :size] > 0, axis=1), factor, flat.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def margins(factor: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    """How far below the threshold the estimate of a pair at the threshold may lie."""
+    sure = np.sqrt(np.maximum(1 - factor**2, 0)) * np.sqrt(1 - threshold**2) / factor
+    return sure * min(1.0, SIGMAS / np.sqrt(max(size - 1, 1))) + 1e-5
+
+
+class Vectors:
+    """Vectors of one length in a task: estimates from codes, exact cosines from components."""
+
+    def __init__(self, raw: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float) -> None:
+        size = raw.shape[1]
+        self.raw, self.norm = raw, np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        self.sign = (np.unpackbits(code, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
+        self.turned = (_unit(raw) @ rotations(size, 1)[0].T).astype(np.float32)
+        # <x, b> from which a pair is recomputed.
+        self.least = (factor * (threshold - margins(factor, size, threshold))).astype(np.float32)
+        self.threshold, self.estimated, self.recomputed = threshold, 0, 0
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.recomputed += len(i)
+        good = np.einsum("ij,ij->i", self.raw[i], self.raw[j]) / (self.norm[i] * self.norm[j]) >= self.threshold
+        return i[good], j[good]
+
+    def of_pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links among the given pairs."""
+        self.estimated += len(i)
+        near = np.einsum("ij,ij->i", self.sign[i], self.turned[j]) >= self.least[i]
+        return self.exact(i[near], j[near])
+
+    def of_blocks(self, left: np.ndarray, right: np.ndarray, keys: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links between two blocks, or inside one, whose first common band is ``band``."""
+        near = self.sign[left] @ self.turned[right].T >= self.least[left][:, None]
+        self.estimated += near.size
+        i, j = np.nonzero(np.triu(near, 1) if left is right else near)
+        i, j = left[i], right[j]
+        own = np.argmax(keys[i] == keys[j], axis=1) == band if len(i) else np.zeros(0, bool)
+        return self.exact(i[own], j[own])
+
+
+def small_pairs(place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs inside each run of equal ``place``, one distance at a time."""
+    for k in range(1, SMALL):
+        i = np.flatnonzero(place[k:] == place[:-k]) if k < len(place) else np.zeros(0, np.int64)
+        if not len(i):
+            return
+        yield i, i + k
+
+
+def searched(place: np.ndarray, side: np.ndarray, band: np.ndarray, keys: np.ndarray, vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside the places of a task, whose rows stand together; ``side`` tells the blocks of a pair apart."""
+    cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+    size = np.diff(cut)
+    small = np.repeat((size <= SMALL) & ~np.logical_or.reduceat(side > 0, cut[:-1]), size)
+    own, found = np.flatnonzero(small), []
+    for i, j in small_pairs(place[own]):
+        i, j = own[i], own[j]
+        first = np.argmax(keys[i] == keys[j], axis=1) == band[i]
+        found.append(vectors.of_pairs(i[first], j[first]))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if not small[lo]:
+            rows = np.arange(lo, hi)
+            pair = (rows[side[lo:hi] == 1], rows[side[lo:hi] == 2]) if side[lo] else (rows, rows)
+            found.append(vectors.of_blocks(*pair, keys, int(band[lo])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _star(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -114,51 +158,56 @@ def near_copies(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     kinds = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = [np.asarray(v, dtype=np.float64).tobytes() for v in batch["v"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["copies"], batch["space"], pa.array(body, pa.binary())], ["rep", "copies", "space", "v"])
+    bits, bands = plan(rows.where("sound").count(), threshold)
 
-    kinds = shared.written(kinds.withColumn("space", F.concat_ws(":", F.size("v").cast("string"), F.col("label").cast("string"))).select("rep", "copies", "space", "v").mapInArrow(packed, "rep long, copies long, space string, v binary"), "vectors")
-    bits, bands = plan(kinds.count(), threshold)
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors_ = _vectors(batch["v"])
-            size = np.array([len(v) for v in vectors_])
-            out = np.zeros((len(vectors_), bands), dtype=np.int64)
-            for s in np.unique(size):
-                own = np.flatnonzero(size == s)
+            lists = batch["v"]
+            edge, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            length = np.diff(edge)
+            for size in np.unique(length):
+                own = np.flatnonzero(length == size)
                 for at in range(0, len(own), 2048):
                     part = own[at : at + 2048]
-                    x = np.stack([vectors_[k] for k in part])
-                    out[part] = codes(_unit(x), bits, bands)[2]
-            flat = pa.ListArray.from_arrays(np.arange(0, out.size + 1, bands, dtype=np.int32), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["space"], flat], ["rep", "space", "keys"])
-
-    keys = kinds.select("rep", "space", "v").mapInArrow(banded, "rep long, space string, keys array<long>").select("rep", "space", F.posexplode("keys").alias("band", "key"))
-    keys = shared.written(keys, "bands")
+                    raw = flat[edge[part][:, None] + np.arange(size)]
+                    code, factor, keys = codes(_unit(raw), bits, bands)
+                    take = pa.array(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch[c].take(take) for c in ("rep", "copies", "space")), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(factor),
+                            pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel())),
+                        ],
+                        ["rep", "copies", "space", "v", "code", "factor", "keys"],
+                    )
+
+    kinds = kinds.withColumn("space", F.concat_ws(":", F.size("v").cast("string"), F.col("label").cast("string"))).select("rep", "copies", "space", "v")
+    kinds = shared.written(kinds.mapInArrow(coded, "rep long, copies long, space string, v binary, code binary, factor double, keys array<long>"), "vectors")
+    keys = kinds.select("rep", "space", F.posexplode("keys").alias("band", "key"))
     bucket = ["space", "band", "key"]
-    full = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    full = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = keys.join(full, bucket).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
-    member = member.join(kinds.select("rep", "copies", "v"), "rep")
-
-    def block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        band, i, j = key[1].as_py(), key[3].as_py(), key[4].as_py()
-        raw = np.stack(_vectors(table["v"]))
-        rep, copies, own = (table[c].to_numpy() for c in ("rep", "copies", "own"))
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        a, b = linked(_unit(raw), raw, left, right, band, bits, bands, threshold)
+    side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
+    member = member.select("rep", "space", F.xxhash64(*bucket, F.least("own", "other"), F.greatest("own", "other")).alias("place"), side.alias("side"), "band")
+    member = member_table = shared.written(member, "places")
+    deals = 1 + member.count() // BLOCK
+    # A group has vectors of one length.
+    member = member.join(kinds.select("rep", "copies", "v", "code", "factor", "keys"), "rep").withColumn("deal", F.pmod(F.xxhash64("place"), F.lit(deals)))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("side", "ascending"), ("rep", "ascending")])
+        rep, copies, place, side, band, factor = (table[c].to_numpy() for c in ("rep", "copies", "place", "side", "band", "factor"))
+        own_keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        raw, code = (np.frombuffer(b"".join(x.as_buffer() for x in table[c]), t).reshape(len(rep), -1) for c, t in (("v", np.float64), ("code", np.uint8)))
+        a, b = searched(place, side, band, own_keys, Vectors(raw, code, factor, threshold))
         links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
         hit = np.flatnonzero(links)
         return pa.table({"rep": rep[hit], "links": links[hit].astype(np.int64), "to": rep[_star(len(rep), a, b)[hit]]})
 
-    found = shared.written(member.groupBy(*bucket, "i", "j").applyInArrow(block, "rep long, links long, to long"), "links")
+    found = shared.written(member.groupBy("deal", F.octet_length("v").alias("size")).applyInArrow(search, "rep long, links long, to long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components.connected(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    shared.discard(member_table)
     classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

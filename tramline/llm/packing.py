@@ -1,23 +1,32 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Pieces are taken by falling length.  Each goes into the open bin that it fills
-best; if none has room, a bin is opened whose size costs least for each token
-that it can still hope to hold.  At the end every bin shrinks to the smallest
-permitted length that holds its contents.  A document longer than the largest
-permitted length fills whole bins of that length and packs its remainder.
+A sequence of length c costs ``c + c * c / attention + overhead``: its tokens,
+the attention over them, and what every sequence costs besides.  Short
+sequences are cheap for each token if they can be filled, long ones are needed
+for long pieces and waste least; which mix is best depends on the pieces.
 
-Documents are dealt to shards by the hash of their id; only ids and lengths
-move, a shard has about ``SHARD`` documents at every size of input, and
+Pieces are taken by falling length.  Each goes into the open bin that it fills
+best.  If none has room, every permitted length that holds it is tried on the
+pieces still to come: how far would it be filled, taking the longest that fit?
+The length with the least cost for each token so held is opened.  At the end
+every bin shrinks to the smallest permitted length that holds its contents.  A
+document longer than the largest permitted length fills whole bins of that
+length and packs its remainder.
+
+Documents are dealt to shards by the hash of their id and text; only ids and
+lengths move, a shard has about ``SHARD`` documents at every size of input, and
 the bins left half full cost a vanishing share.
 
 Defined cases: a null text or one without words (or a null length) gives one
-row without a bin; equal lengths are taken by id, then by row; repeated rows
-are packed as documents of their own; an empty table gives an empty result;
-extra columns are ignored.
+row without a bin; null ids are documents like any other; equal lengths are
+taken by id, then by row; repeated rows are packed as documents of their own;
+very long texts count whole; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textnum
+from . import shared, textnum
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens, in tokens.
 OVERHEAD = 32
+#: A sequence of this length costs as much for its attention as for its tokens.
+ATTENTION = 32768
 SHARD = 8192
 
 _PLACED = "bin_id long, capacity int, at int, doc_id long, piece int, first_token long, n_tokens int"
@@ -47,18 +58,48 @@ def word_count(text: str | Column) -> Column:
     return count_words(text)
 
 
-def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+def cost(length: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    """What one sequence of ``length`` costs, in tokens."""
+    return length + length * length / attention + overhead
+
+
+class _Coming:
+    """The pieces still to come, by size; bit s of ``some`` is set while there is one of size s."""
+
+    def __init__(self, sizes: Sequence[int]) -> None:
+        self.count, self.some = Counter(sizes), 0
+        for s in self.count:
+            self.some |= 1 << s
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.some &= ~(1 << size)
+
+    def fill(self, room: int) -> int:
+        """Tokens that the longest fitting pieces would bring into ``room``."""
+        left, some = room, self.some
+        while left and (some := some & ((1 << (left + 1)) - 1)):
+            size = some.bit_length() - 1
+            left -= size * min(self.count[size], left // size)
+            some &= ~(1 << size)
+        return room - left
+
+
+def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[list[int], list[int], list[int]]:
     """(bin of each size, start within the bin, capacity of each bin).
 
     ``sizes`` fall and are at most the largest length.
     """
     lengths = sorted(lengths)
-    left = int(sum(sizes))
+    price = {c: cost(c, overhead, attention) for c in lengths}
+    coming = _Coming(sizes)
     room: dict[int, list[int]] = {}  # free space -> bins, a bit of ``free`` for each
     free = 0
-    bins, starts, used, held = [], [], [], []
+    bins, starts, used = [], [], []
     for size in sizes:
         size = int(size)
+        coming.take(size)
         fitting = free >> size
         if fitting:
             space = size + (fitting & -fitting).bit_length() - 1
@@ -66,25 +107,23 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: i
             if not room[space]:
                 free &= ~(1 << space)
         else:
-            space = min((c for c in lengths if c >= size), key=lambda c: ((c + overhead) / min(c, left), c))
+            space = min((c for c in lengths if c >= size), key=lambda c: (price[c] / (size + coming.fill(c - size)), c))
             own = len(used)
             used.append(0)
-            held.append(space)
         bins.append(own)
         starts.append(used[own])
         used[own] += size
-        left -= size
         if space > size:
             room.setdefault(space - size, []).append(own)
             free |= 1 << (space - size)
     return bins, starts, [next(c for c in lengths if c >= u) for u in used]
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", tokens: str | Column | None = None, text: str = "text", lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", tokens: str | Column | None = None, text: str = "text", lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, attention: int = ATTENTION, shard: int = SHARD) -> DataFrame:
     """One row a piece: bin_id, capacity, at (start in the bin), doc_id, piece,
     first_token (start in the document), n_tokens.  Without ``tokens``, words count."""
     n = F.col(tokens) if isinstance(tokens, str) else word_count(text) if tokens is None else tokens
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n"), *([shared.text_key(text).alias("key")] if text in docs.columns else []))
     shards = max(1, -(-docs.count() // shard))
     most = max(lengths)
 
@@ -98,7 +137,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", tokens: str | Column | None
         piece = np.concatenate([np.arange(int(whole.sum())) - np.repeat(np.cumsum(whole[order]) - whole[order], whole[order]), whole[order][n[order] % most > 0]])
         by = np.argsort(-size, kind="stable")
         of, size, piece = of[by], size[by], piece[by]
-        bins, starts, capacity = best_fit(size.tolist(), lengths, overhead)
+        bins, starts, capacity = best_fit(size.tolist(), lengths, overhead, attention)
         bins_ = np.array(bins, dtype=np.int64)
         got = pa.table(
             {
@@ -111,5 +150,5 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", tokens: str | Column | None
         zeros = [pa.array(np.zeros(len(bare), d)) for d in (np.int32, np.int64, np.int32)]
         return pa.concat_tables([got, pa.Table.from_arrays([*nothing, table["doc_id"].combine_chunks().take(pa.array(bare, pa.int64())), *zeros], names=got.column_names)])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), *rows.columns), F.lit(shards))).select("shard", "doc_id", "n")
     return dealt.groupBy("shard").applyInArrow(shard_bins, _PLACED)
