@@ -14,9 +14,10 @@ multiset overlap.  Equal texts are one kind from the start (128-bit hash).
 
 1. Each kind goes to one hub, the smallest id of all its buckets; a hub's kinds
    are dealt to blocks of bounded size, each with the hub's own bag.
-2. Buckets whose members are still in different components are searched whole:
-   a task compares what is in different components and in no earlier common
-   bucket, and returns a spanning forest, never pairs.
+2. Buckets whose members are still in different components, and have not all
+   been with one hub, are searched whole: a task compares what is in different
+   components and in no earlier common bucket, and returns a spanning forest,
+   never pairs.
 3. Buckets beyond a block's bound are dealt anew by rare members: with members
    ordered by rarity, two texts at the similarity share one of their first
    ``size - ceil(similarity * size) + 1``.  A rare member beyond the bound is
@@ -50,7 +51,9 @@ BANDS, BAND_ROWS = 20, 4
 PLACES = BANDS * BAND_ROWS
 #: A task searches at most so many texts, with so many shingles in all, as one place.
 BLOCK, BLOCK_MEMBERS = 2048, 1 << 22
-KIND = ["key", "key2"]
+#: A text among those of its smallest id.
+KIND = ["rep", "key"]
+MAP_BITS = 26
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +142,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             member = textnum.mix(np.repeat(h, count) + copy.astype(np.uint64) * U(0x9E3779B97F4A7C15))
             edge = np.searchsorted(np.repeat(owner, count), np.arange(b - a + 1))
             body = [member[edge[k] : edge[k + 1]].tobytes() for k in range(b - a)]
-            yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("key", "key2", "rep")), pa.array(np.diff(edge)), pa.array(body, pa.binary())], ["key", "key2", "rep", "size", "bag"])
+            yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("rep", "key")), pa.array(np.diff(edge)), pa.array(body, pa.binary())], ["rep", "key", "size", "bag"])
 
 
 def forest(bags: list[np.ndarray], part: np.ndarray, similarity: float, bands: np.ndarray | None = None, band: int = 0, block: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -208,7 +211,7 @@ def _blocks(n: str, size: str) -> Column:
 
 
 def _searched(rows: DataFrame, bags: DataFrame, similarity: float, masked: bool, name: str) -> DataFrame:
-    """Links of rows(key, key2, place, side, band, part[, bands]), small places grouped to about a block."""
+    """Links of rows(rep, key, place, side, band, part), small places grouped to about a block."""
     rows = shared.written(rows, f"{name}-places")
     members = bags.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
     groups = 1 + int(rows.count() * max(1 / BLOCK, members / BLOCK_MEMBERS))
@@ -225,12 +228,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["bag"]]
         size = np.array([len(x) for x in bags], dtype=np.int64)
         take = pa.array(np.repeat(np.arange(len(bags)), size))
-        yield pa.RecordBatch.from_arrays([batch["key"].take(take), batch["key2"].take(take), batch["size"].take(take), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["key", "key2", "size", "member"])
+        yield pa.RecordBatch.from_arrays([batch["rep"].take(take), batch["key"].take(take), batch["size"].take(take), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["rep", "key", "size", "member"])
 
 
 def _by_rare_member(wide: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Places for :func:`_searched` of the kinds of crowded buckets, dealt by their rare members."""
-    rows = shared.written(wide.join(bags, KIND).select(*KIND, "size", "bag").mapInArrow(_members, "key long, key2 long, size long, member long"), "bag-members")
+    rows = shared.written(wide.join(bags, KIND).select(*KIND, "size", "bag").mapInArrow(_members, "rep long, key long, size long, member long"), "bag-members")
     often = rows.groupBy("member").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy(*KIND).orderBy("often", "member")
     first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
@@ -245,52 +248,67 @@ def _by_rare_member(wide: DataFrame, bags: DataFrame, similarity: float) -> Data
     return met.join(wide, KIND).select(*KIND, "place", "side", "band", "part")
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose kind may be in ``wanted``: a bitmap of hashed kinds, in words of 64.
+
+    The bitmap has at most 2 ** ``MAP_BITS`` bits whatever the input; fuller, it lets more rows by.
+    """
+    bits = int(min(MAP_BITS, max(16, np.ceil(np.log2(8 * max(wanted.count(), 1))))))
+    cell = F.pmod(F.xxhash64(*KIND), F.lit(1 << bits))
+    words = wanted.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("set"))
+    near = rows.withColumn("cell", cell).withColumn("word", F.shiftright("cell", 6)).join(F.broadcast(words), "word")
+    return near.where(F.expr("getbit(set, cast(cell & 63 as int)) = 1")).select(*rows.columns)
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id) for every distinct id whose document has words."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), shared.text_key(text).alias("key"), shared.text_key(text, 2).alias("key2"), F.col(text).alias("text"))
     signed = rows.where("id is not null").mapInArrow(_banded, "id long, key long, key2 long, bands array<long>")
     signed = shared.written(signed, "signatures")
-    kinds = shared.written(signed.groupBy(*KIND).agg(F.min("id").alias("rep")), "kinds")
-    member = shared.written(signed.join(kinds, KIND).select("id", *KIND, "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    kinds = shared.written(signed.groupBy("key", "key2").agg(F.min("id").alias("rep")), "kinds")
+    member = shared.written(signed.join(kinds, ["key", "key2"]).select("id", "key", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     shared.discard(signed)
-    own = member.where("bands is not null").dropDuplicates(KIND)
-    keys = own.select(*KIND, "rep", "bands", F.posexplode("bands").alias("band", "h"))
-    bucket = ["band", "h"]
-    sizes = keys.groupBy(*bucket).agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket, "low")
-    keys = shared.written(keys.join(sizes, bucket), "buckets")
-    hubs = shared.written(keys.groupBy(*KIND, "rep").agg(F.min("low").alias("hub")), "hubs")
+    shared.discard(kinds)
+    own = member.where("bands is not null").select(*KIND, "bands")
+    keys = own.select(*KIND, F.posexplode("bands").alias("band", "h")).withColumn("h", F.xxhash64("h", "band"))
+    # A kind stands in a bucket once, or a few times if rows repeat.
+    sizes = keys.groupBy("h").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "low")
+    keys = shared.written(keys.join(sizes, "h"), "buckets")
+    hubs = shared.written(keys.groupBy(*KIND).agg(F.min("low").alias("hub")), "hubs")
     # Only texts that share a bucket are read again.
-    wanted = rows.select(*KIND, "id", "text").join(hubs, (rows["key"] == hubs["key"]) & (rows["key2"] == hubs["key2"]) & (rows["id"] == hubs["rep"])).select(hubs["key"], hubs["key2"], "rep", "text")
-    bags = shared.written(wanted.dropDuplicates(KIND).mapInArrow(_bags, "key long, key2 long, rep long, size long, bag binary"), "bags")
+    again = _maybe(rows.select(F.col("id").alias("rep"), "key", "text").where("rep is not null"), hubs)
+    again = again.join(hubs.select(*KIND), KIND).dropDuplicates(KIND)
+    bags = again.mapInArrow(_bags, "rep long, key long, size long, bag binary")
+    bags = shared.written(bags.join(own.dropDuplicates(KIND), KIND), "bags")
 
     # 1. Each kind with its hub.
-    sized = hubs.join(bags.select(*KIND, "size"), KIND)  # (key, key2, rep, hub, size)
+    sized = hubs.join(bags.select(*KIND, "size"), KIND)
     crowd = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).select("hub", _blocks("n", "all").alias("blocks"))
     crowd = shared.written(crowd, "hub-blocks")
-    spokes = sized.join(crowd, "hub").select(*KIND, "rep", "hub", F.pmod(F.xxhash64(*KIND), F.col("blocks")).cast("int").alias("own"))
-    middles = hubs.select(*KIND, "rep").join(crowd, F.col("rep") == F.col("hub")).select(*KIND, "rep", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    near = spokes.unionAll(middles).distinct()
+    spokes = shared.written(sized.join(crowd, "hub").select(*KIND, "hub", "blocks"), "spokes")
+    middles = hubs.select(*KIND).join(crowd, F.col("rep") == F.col("hub")).select(*KIND, "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    near = spokes.select(*KIND, "hub", F.pmod(F.xxhash64(*KIND), F.col("blocks")).cast("int").alias("own")).unionAll(middles).distinct()
     links = _searched(near.select(*KIND, F.xxhash64("hub", "own").alias("place"), F.lit(0).alias("side"), F.lit(0).alias("band"), F.col("rep").alias("part")), bags, similarity, False, "hub-links")
     # The texts of one id are one document.
-    twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("id", "a")
+    twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
     links = links.unionAll(member.join(twice, "id").select("a", F.col("rep").alias("b")))
     parts = shared.written(components.connected(links), "parts")
 
-    # 2. Buckets that hold several components yet.
-    placed = keys.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    placed = shared.written(placed.join(bags.select(*KIND, "size"), KIND).select(*KIND, *bucket, "rep", "part", "bands", "size"), "placed")
-    split = placed.groupBy(*bucket).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("p < q").select(*bucket, _blocks("n", "all").alias("blocks"))
-    split = shared.written(split, "split-buckets")
-    whole = placed.join(split.where("blocks = 1"), bucket, "left_semi")
-    more = _searched(whole.select(*KIND, F.xxhash64(*bucket).alias("place"), F.lit(0).alias("side"), "band", "part", "bands"), bags, similarity, True, "bucket-links")
+    # 2. Buckets that hold several components yet, and more than one whole hub with its kinds.
+    placed = keys.join(spokes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(bags.select(*KIND, "size"), KIND), KIND)
+    placed = shared.written(placed.select(*KIND, "band", "h", F.coalesce("component", "rep").alias("part"), "size", ((F.col("rep") == F.col("low")) | ((F.col("hub") == F.col("low")) & (F.col("blocks") == 1))).alias("done")), "placed")
+    split = placed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("done").alias("done"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
+    split = shared.written(split.where("p < q and not done").select("h", _blocks("n", "all").alias("blocks")), "split-buckets")
+    whole = placed.join(split.where("blocks = 1"), "h", "left_semi")
+    more = _searched(whole.select(*KIND, F.col("h").alias("place"), F.lit(0).alias("side"), "band", "part"), bags, similarity, True, "bucket-links")
     # 3. Those that no task may hold whole.
     if split.where("blocks > 1").limit(1).count():
-        wide = shared.written(placed.join(split.where("blocks > 1"), bucket, "left_semi").select(*KIND, "part").distinct(), "wide")
+        wide = shared.written(placed.join(split.where("blocks > 1"), "h", "left_semi").select(*KIND, "part").distinct(), "wide")
         more = more.unionAll(_searched(_by_rare_member(wide, bags, similarity), bags, similarity, False, "wide-links"))
     parts = components.connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
-    found = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    found = member.select("id", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     found = shared.written(found.groupBy("id").agg(F.min("class_id").alias("class_id")), "classes")
-    for table in (kinds, member, keys, hubs, bags, crowd, placed):
+    for table in (member, keys, hubs, bags, crowd, spokes, placed, split):
         shared.discard(table)
     return found
 

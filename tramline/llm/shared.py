@@ -50,6 +50,8 @@ def discard(df: DataFrame) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     _written.remove(df.written_path)
+    # Shuffle files go once the driver has collected the plans that made them.
+    spark.sparkContext._jvm.System.gc()
 
 
 def _release(spark: SparkSession) -> None:
