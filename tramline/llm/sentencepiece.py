@@ -38,13 +38,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from . import textnum
+from . import shared, textnum
 
 U = np.uint64
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 LONG = 96
 #: Probes that stand in memory at a time, and the high bits by which keys are found.
 PROBES, SLOT_BITS = 1 << 20, 20
@@ -105,9 +106,7 @@ def _characters(data: np.ndarray) -> np.ndarray:
     padded[: len(data)] = data
     lead = data >= 0xC0
     size = np.ones(len(data), dtype=np.int64)
-    size[lead] = 2
-    size[data >= 0xE0] = 3
-    size[data >= 0xF0] = 4
+    size = 1 + (data >= 0xC0).astype(np.uint8) + (data >= 0xE0) + (data >= 0xF0)
     out = data.astype(np.uint64)
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
@@ -470,9 +469,16 @@ def _lists(got: tuple[np.ndarray, np.ndarray], texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat), mask=texts.is_null() if texts.null_count else None)
 
 
+def _broadcast(model: Pieces) -> Broadcast:
+    """The model for the tasks, whose batches of text are bounded by bytes."""
+    spark = SparkSession.active()
+    shared.bound_batches(spark)
+    return spark.sparkContext.broadcast(model)
+
+
 def encode(model: Pieces, text: str | Column) -> Column:
     """The ids of each whole text."""
-    shared_model = SparkSession.active().sparkContext.broadcast(model)
+    shared_model = _broadcast(model)
 
     @F.arrow_udf("array<int>")
     def sentencepiece_ids(texts: pa.Array) -> pa.Array:
@@ -484,7 +490,7 @@ def encode(model: Pieces, text: str | Column) -> Column:
 def encode_both(model: Pieces, text: str | Column) -> Column:
     """struct(merged, best) of each whole text: ids by byte-pair merges, and of the
     best-scoring path by Viterbi, over one vocabulary."""
-    shared_model = SparkSession.active().sparkContext.broadcast(model)
+    shared_model = _broadcast(model)
 
     @F.arrow_udf("struct<merged: array<int>, best: array<int>>")
     def sentencepiece_both(texts: pa.Array) -> pa.Array:
@@ -495,7 +501,7 @@ def encode_both(model: Pieces, text: str | Column) -> Column:
 
 def decode(model: Pieces, ids: str | Column) -> Column:
     """The text of each id sequence."""
-    shared_model = SparkSession.active().sparkContext.broadcast(model)
+    shared_model = _broadcast(model)
 
     @F.arrow_udf("string")
     def sentencepiece_text(rows: pa.Array) -> pa.Array:
