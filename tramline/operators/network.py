@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import geo
 
 # Tags that an edit may not set, and the default filter of a network.
@@ -132,7 +133,7 @@ class Network:
         near = {r.k: r.id for r in nearest(points, "k", self.nodes).collect()}
         if len(near) < len(waypoints):
             raise ValueError("no node near a waypoint")
-        segments = self.segments().persist()
+        segments = tables.written(self.segments(), "segments")
         stops = [near[k] for k in range(len(waypoints))]
         path: list[int] = stops[:1]
         for a, b in zip(stops, stops[1:], strict=False):
@@ -140,6 +141,7 @@ class Network:
             if leg is None:
                 raise ValueError(f"no path from node {a} to node {b}")
             path += [n for n in leg if n != path[-1]] if len(leg) > 1 else []
+        tables.discard(segments)
         at = {r.id: (r.lat, r.lon) for r in self.nodes.where(F.col("id").isin(*set(path))).collect()}
         return [at[n] for n in path]
 
@@ -157,15 +159,17 @@ def runs_of(rows: DataFrame, group: str, position: str) -> DataFrame:
     return rows.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("gap")
 
 
-def nearest(points: DataFrame, key: str, nodes: DataFrame, *, rings: int = 3) -> DataFrame:
+def nearest(points: DataFrame, key: str, nodes: DataFrame, *, rings: int = 8) -> DataFrame:
     """(key, id, distance_m): the nearest node of each point(key, lat, lon); ties to the smaller id.
 
     Points look in their grid cell and those around it; what finds a node only
     beyond the certain radius, or none, looks again in cells four times as wide.
+    The last ring's cells span the globe.  Each ring's finds are written, so
+    the plan doesn't grow, and the search ends with the last point found.
     """
     found: DataFrame | None = None
     rest, size = points, CELL_DEG
-    for _ in range(rings):
+    for ring in range(rings):
         steps = F.sequence(F.lit(-1), F.lit(1))
         near = rest.withColumns({"py": F.floor(F.col("lat") / size), "px": F.floor(F.col("lon") / size)}).withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
         near = near.select(key, F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), (F.col("py") + F.col("dy")).alias("cy"), (F.col("px") + F.col("dx")).alias("cx"))
@@ -173,44 +177,43 @@ def nearest(points: DataFrame, key: str, nodes: DataFrame, *, rings: int = 3) ->
         d = geo.haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
         best = near.join(placed, ["cy", "cx"]).withColumn("d", d).groupBy(key).agg(F.min(F.struct("d", "id")).alias("best"), F.max(F.cos(F.radians("lat0"))).alias("shrink"))
         # Any node nearer than one cell's side stands in the cells looked at.
-        sure = best.where(F.col("best.d") <= F.lit(size * 111_000.0) * F.least(F.lit(1.0), F.col("shrink"))).select(key, F.col("best.id").alias("id"), F.col("best.d").alias("distance_m"))
+        certain = F.lit(ring == rings - 1) | (F.col("best.d") <= F.lit(size * 111_000.0) * F.least(F.lit(1.0), F.col("shrink")))
+        sure = tables.written(best.where(certain).select(key, F.col("best.id").alias("id"), F.col("best.d").alias("distance_m")), "nearest")
         found = sure if found is None else found.unionAll(sure)
         rest = rest.join(sure.select(key), key, "left_anti")
+        if not rest.limit(1).count():
+            break
         size *= 4
-    # Points far from every node: compared with all of them, a broadcast of the few that are left.
-    d = geo.haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
-    far = rest.select(key, F.col("lat").alias("lat0"), F.col("lon").alias("lon0")).join(nodes.select("id", "lat", "lon"), F.lit(True)).groupBy(key).agg(F.min(F.struct(d.alias("d"), "id")).alias("best"))
-    return found.unionAll(far.select(key, F.col("best.id").alias("id"), F.col("best.d").alias("distance_m")))
+    return found
 
 
 def shortest_path(segments: DataFrame, start: int, end: int, *, most: int = 10_000) -> list[int] | None:
     """Node ids from start to end, by rounds of relaxation; None if there is no path.
 
     Each round extends only the nodes that the last one improved, and drops
-    those already farther than the end.
+    those already farther than the end.  Improved nodes carry their path; both
+    tables of a round are written and those of the round before deleted.
     """
-    spark = segments.sparkSession
     if start == end:
         return [start]
-    best = spark.createDataFrame([(start, 0.0, None)], "id bigint, d double, prev bigint").persist()
-    front = best
+    spark = segments.sparkSession
+    front = spark.createDataFrame([(start, 0.0, [start])], "id bigint, d double, path array<bigint>")
+    best = tables.written(front.select("id", "d"), "best")
+    old_front: DataFrame | None = None
+    goal = None
     for _ in range(most):
-        limit = best.where(F.col("id") == end).agg(F.min("d")).first()[0]
-        ahead = front if limit is None else front.where(F.col("d") < limit)
-        step = ahead.join(segments, ahead["id"] == segments["a"]).select(F.col("b").alias("id"), (F.col("d") + F.col("length_m")).alias("d"), F.col("a").alias("prev"))
-        step = step.groupBy("id").agg(F.min(F.struct("d", "prev")).alias("s")).select("id", "s.d", "s.prev")
-        old = best.select("id", F.col("d").alias("old"))
-        front = step.join(old, "id", "left").where("old is null or d < old").select("id", "d", "prev").persist()
-        if not front.count():
-            break
-        best = best.join(front.select("id"), "id", "left_anti").unionAll(front).persist()
-        best.count()
-    node: int | None = end
-    path = []
-    while node is not None:
-        row = best.where(F.col("id") == node).first()
-        if row is None:
-            return None
-        path.append(node)
-        node = row.prev
-    return path[::-1]
+        ahead = front if goal is None else front.where(F.col("d") < goal.d)
+        step = ahead.join(segments, ahead["id"] == segments["a"]).select(F.col("b").alias("id"), (F.col("d") + F.col("length_m")).alias("d"), F.concat("path", F.array("b")).alias("path"))
+        step = step.groupBy("id").agg(F.min(F.struct("d", "path")).alias("s")).select("id", "s.d", "s.path")
+        known = best.select("id", F.col("d").alias("old"))
+        front = tables.written(step.join(known, "id", "left").where("old is null or d < old").select("id", "d", "path"), "front")
+        if old_front is not None:
+            tables.discard(old_front)
+        old_front = front
+        if not front.limit(1).count():
+            return goal.path if goal is not None else None
+        goal = front.where(F.col("id") == end).first() or goal
+        wider = tables.written(best.join(front.select("id"), "id", "left_anti").unionAll(front.select("id", "d")), "best")
+        tables.discard(best)
+        best = wider
+    raise RuntimeError(f"no shortest path from {start} to {end} settled in {most} rounds")

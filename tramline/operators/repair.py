@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import notices as N
 from ..feed import Feed
 from ..functions import text
+from ..tables import shared_dir
 
 # Optional fields and the default that replaces a bad value.
 DEFAULTS = (
@@ -141,7 +142,7 @@ def settled(feed: Feed, names: set[str]) -> Feed:
     """The named tables with their lineage cut; a lost executor costs a re-read."""
     spark = next(iter(feed.tables.values())).sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tramline-repair")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return Feed({k: v.checkpoint() if k in names else v for k, v in feed.tables.items()}, feed.headers, feed.incomplete, feed.present, feed.notices, feed.extras)
 
 
