@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import shared, textnum
 
 U = np.uint64
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 LONG = 96
 #: Probes that stand in memory at a time, and the high bits by which keys are found.
 PROBES, SLOT_BITS = 1 << 20, 20
