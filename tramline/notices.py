@@ -59,6 +59,9 @@ UNSAMPLED = (
 )
 
 
+SALTS = 256
+
+
 def sampled(notices: DataFrame, cap: int) -> DataFrame:
     """At most ``cap`` errors and ``cap`` others a stage and file; a summary for the rest.
 
@@ -70,8 +73,11 @@ def sampled(notices: DataFrame, cap: int) -> DataFrame:
     counted = marked.where("not free").groupBy(*group).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > cap)
     over = marked.join(F.broadcast(counted.select(*group, F.lit(True).alias("over"))), group, "left")
     calm = over.where("free or over is null").select(*COLUMNS)
-    order = Window.partitionBy(*group).orderBy("pass", "csv_row", "place", "code")
-    kept = over.where("not free and over").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(*COLUMNS)
+    order = ["pass", "csv_row", "place", "code"]
+    kept = over.where("not free and over").withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    for by in ([*group, "salt"], group):  # a flood is cut in many tasks before one ranks what is left
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= cap)
+    kept = kept.select(*COLUMNS)
     lost = F.col("total") - cap
     summary = counted.groupBy("stage", "file").agg(F.sum(lost).alias("lost"), F.max("grave").alias("grave"))
     summary = summary.select(

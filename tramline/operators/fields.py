@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,22 +61,37 @@ def emit_cells(rows: DataFrame, rules: list[tuple[Column, Column]], file: str) -
     Rows without any defect, nearly all of them, leave by one generated
     predicate; only the others have their rules listed one by one.
     """
-    wrong = reduce(Column.__or__, [F.coalesce(cond, F.lit(False)) for cond, _ in rules])
-    each = rows.where(wrong).select("csv_row", F.explode(F.array(*[F.when(cond, s) for cond, s in rules])).alias("n")).where("n is not null")
-    said = N.context(filename=file, csvRowNumber=F.col("csv_row"), fieldName=F.col("n.field"), fieldValue=text.clip(F.col("n.value")))
-    return each.select(F.lit("rules").alias("stage"), F.lit(file).alias("file"), "n.code", "n.severity", F.lit(0).alias("pass"), "csv_row", "n.place", said.alias("context"))
+    return _emitted(rows, *_listed(rules), file)
+
+
+def _listed(rules: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """(whether any rule is broken, the list of what each says)."""
+    return reduce(Column.__or__, [F.coalesce(cond, F.lit(False)) for cond, _ in rules]), F.array(*[F.when(cond, s) for cond, s in rules])
+
+
+def _emitted(rows: DataFrame, wrong: Column, said: Column, file: str) -> DataFrame:
+    each = rows.where(wrong).select("csv_row", F.explode(said).alias("n")).where("n is not null")
+    context = N.context(filename=file, csvRowNumber=F.col("csv_row"), fieldName=F.col("n.field"), fieldValue=text.clip(F.col("n.value")))
+    return each.select(F.lit("rules").alias("stage"), F.lit(file).alias("file"), "n.code", "n.severity", F.lit(0).alias("pass"), "csv_row", "n.place", context.alias("context"))
+
+
+@lru_cache(maxsize=256)
+def _rules(application: str, name: str, cells: tuple[tuple[int, str, str], ...]) -> tuple[Column, Column]:
+    """The rules of a file with these (place, header, column), made once a session:
+    expressions name columns, not tables, and making them is what costs."""
+    known = {c.name: c for c in spec.COLUMNS[name]}
+    return _listed([rule for place, header, column in cells for rule in cell_rules(known[header], F.col(f"`{column}`"), place)])
 
 
 def field_notices(feed: Feed, name: str) -> list[DataFrame]:
     """All field rules of one table."""
-    known = {c.name: c for c in spec.COLUMNS.get(name, ())}
+    known = {c.name for c in spec.COLUMNS.get(name, ())}
     table = feed.tables[name]
     stored = [c for c in table.columns if c != "csv_row"]
-    rules: list[tuple[Column, Column]] = []
-    for place, (header, column) in enumerate(zip(feed.names(name), stored, strict=False)):
-        if header in known:
-            rules += cell_rules(known[header], F.col(f"`{column}`"), place)
-    return [emit_cells(table, rules, name)] if rules else []
+    cells = tuple((place, header, column) for place, (header, column) in enumerate(zip(feed.names(name), stored, strict=False)) if header in known)
+    if not cells:
+        return []
+    return [_emitted(table, *_rules(table.sparkSession.sparkContext.applicationId, name, cells), name)]
 
 
 def unknown_columns(feed: Feed, name: str, spark: SparkSession) -> list[DataFrame]:

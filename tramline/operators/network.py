@@ -104,10 +104,17 @@ class Network:
     def delete_way(self, way_id: int) -> Network:
         """The way goes, and those of its nodes that no other way has."""
         self._need(self.ways, "way", [way_id])
-        rest = self.ways.where(F.col("id") != way_id)
-        gone = self.ways.where(F.col("id") == way_id).select(F.explode("nodes").alias("id")).distinct()
-        orphans = gone.join(rest.select(F.explode("nodes").alias("id")), "id", "left_anti")
-        return Network(self.nodes.join(orphans, "id", "left_anti"), rest)
+        return self.delete_ways(F.col("id") == way_id)
+
+    def delete_ways(self, which: Column) -> Network:
+        """The ways that ``which`` is true of go, and the nodes that no way left has."""
+        return Network(self.nodes.join(self.orphans(which), "id", "left_anti"), self.ways.where(~F.coalesce(which, F.lit(False))))
+
+    def orphans(self, which: Column) -> DataFrame:
+        """(id): nodes that only such ways have."""
+        hit = F.coalesce(which, F.lit(False))
+        members = self.ways.select(F.explode("nodes").alias("node"), hit.alias("goes"))
+        return members.groupBy(F.col("node").alias("id")).agg(F.min("goes").alias("goes")).where("goes").select("id")
 
     # views
     def runs(self) -> DataFrame:

@@ -46,6 +46,9 @@ SELECT 'wrong_parent_location_type', 'ERROR', c.csv_row, c.parent_station, c.loc
 FROM stops c JOIN stops p ON p.stop_id = c.parent_station
 WHERE c.location_type <> '1' AND p.location_type <> CASE WHEN c.location_type = '4' THEN '0' ELSE '1' END"""
 ORACLES["j4_unusable_trips_missing"] = f"{prelude('trips.txt', 'stop_times.txt')} SELECT trip_id, csv_row FROM trips t WHERE NOT EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = t.trip_id)"
+ORACLES["j5_single_or_unused_shapes"] = """WITH g AS (SELECT (event_id * 7919 % 9001)::VARCHAR AS shape_id, count(*) AS n, min(event_id) + 2 AS csv_row FROM events GROUP BY 1)
+SELECT 'single_shape_point' AS code, 'WARNING' AS severity, csv_row, shape_id AS shape FROM g WHERE n = 1
+UNION ALL SELECT 'unused_shape', 'WARNING', csv_row, shape_id FROM g WHERE shape_id NOT IN (SELECT o_custkey::VARCHAR FROM orders)"""
 ORACLES["j5_unused_shapes"] = f"""{prelude('shapes.txt', 'trips.txt')},
 g AS (SELECT shape_id, count(*) AS n, arg_min(csv_row, shape_pt_sequence::BIGINT) AS csv_row FROM shapes GROUP BY shape_id)
 SELECT 'single_shape_point' AS code, 'WARNING' AS severity, csv_row, shape_id AS shape FROM g WHERE n = 1
@@ -102,6 +105,7 @@ ORACLES["a3_unusable_trips_short"] = f"{_ST}, {_PARSED} SELECT trip_id, csv_row
 ORACLES["a4_trip_spans"] = f"{_ST}, {_PARSED}, {_SPANS} SELECT trip_id, first_s, last_s, first_row FROM sp WHERE stops >= 2 AND first_s IS NOT NULL AND last_s IS NOT NULL"
 _CAL = prelude("calendar.txt", "calendar_dates.txt")
 ORACLES["a5_service_window"] = f"{_CAL}, {_DATES} SELECT strftime(min(day), '%Y%m%d') AS first_day, strftime(max(day), '%Y%m%d') AS last_day FROM days"
+ORACLES["a6_expired_services"] = "SELECT o_custkey::VARCHAR AS service_id, strftime(max(o_orderdate), '%Y%m%d') AS last_day FROM orders GROUP BY o_custkey HAVING max(o_orderdate) < DATE '2001-03-01'"
 ORACLES["a6_expired_calendars"] = f"{_CAL}, {_DATES} SELECT service_id, strftime(max(day), '%Y%m%d') AS last_day FROM days GROUP BY service_id HAVING max(day) < DATE '2001-07-30'"
 ORACLES["u2_service_dates"] = f"{_CAL}, {_DATES} SELECT service_id, strftime(day, '%Y%m%d') AS day FROM days"
 ORACLES["w1_stop_time_notices"] = f"""{_ST}, {_PARSED}
@@ -129,10 +133,10 @@ p AS (SELECT shape_id, csv_row, shape_dist_traveled::DOUBLE AS d, shape_pt_lat::
 SELECT shape_id, csv_row, prev_row, CASE WHEN d < pd THEN 'less' WHEN lat = plat AND lon = plon THEN 'same' ELSE 'moved' END AS relation FROM p WHERE d <= pd"""
 ORACLES["w14_block_pair_numbers"] = f"""{prelude('trips.txt', 'stop_times.txt')}, {_PARSED}, {_SPANS},
 m AS (SELECT t.block_id, row_number() OVER (PARTITION BY block_id ORDER BY first_s, t.csv_row) - 1 AS i, count(*) OVER (PARTITION BY block_id) AS n FROM trips t JOIN sp USING (trip_id) WHERE sp.stops >= 2 AND first_s IS NOT NULL AND last_s IS NOT NULL)
-SELECT x.block_id, x.i AS i_a, y.i AS i_b, row_number() OVER (PARTITION BY x.block_id ORDER BY x.i, y.i) AS number FROM m x JOIN m y ON x.block_id = y.block_id AND x.i < y.i WHERE x.n BETWEEN 2 AND 5"""
+SELECT x.block_id, x.i AS i_a, y.i AS i_b, row_number() OVER (PARTITION BY x.block_id ORDER BY x.i, y.i) AS number FROM m x JOIN m y ON x.block_id = y.block_id AND x.i < y.i"""
 ORACLES["w15_idle_services"] = """SELECT 'service_has_no_active_day_of_the_week' AS code, 'WARNING' AS severity, o_custkey + 2 AS csv_row, o_custkey::VARCHAR AS service FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderstatus = 'F') = 0"""
 ORACLES["w19_cumulative_distance"] = f"""
-WITH p AS (SELECT user_id, event_id, (event_id * 13 % 9500)::DOUBLE / 100 AS lat, (event_id * 29 % 18500)::DOUBLE / 100 AS lon FROM events WHERE user_id < 20),
+WITH p AS (SELECT user_id, event_id, (event_id * 13 % 9500)::DOUBLE / 100 AS lat, (event_id * 29 % 18500)::DOUBLE / 100 AS lon FROM events),
 s AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, event_id, round(sum(coalesce({_HAVERSINE.format('plat', 'plon', 'lat', 'lon')}, 0)) OVER (PARTITION BY user_id ORDER BY event_id), 2) AS along_m FROM s"""
 ORACLES["a13_modes_served"] = "SELECT DISTINCT mode FROM (SELECT CASE " + " ".join(f"WHEN k BETWEEN {a} AND {b} THEN '{m}'" for m, ranges in modes.MODES.items() for a, b in ranges) + " END AS mode FROM (SELECT p_size * 27 AS k FROM part)) WHERE mode IS NOT NULL"
@@ -256,7 +260,7 @@ UNION ALL SELECT 'transfers', count(*) FROM transfers WHERE from_stop_id IN (SEL
 ORACLES["t11_updated_stop"] = f"{prelude('stops.txt')} SELECT stop_id, CASE WHEN stop_id = '1' THEN 'Main' ELSE stop_name END AS stop_name, CASE WHEN stop_id = '1' THEN 'Z' ELSE '' END AS zone_id FROM stops"
 ORACLES["t12_set_headway"] = f"{prelude('frequencies.txt')} SELECT csv_row, CASE WHEN trip_id = '7' THEN '600' ELSE headway_secs END AS headway_secs, CASE WHEN trip_id = '7' THEN '23:00:00' ELSE end_time END AS end_time FROM frequencies"
 _LATER = "CASE WHEN {0} = '' THEN '' ELSE format('{{:02d}}:{{:02d}}:{{:02d}}', ({1} + 86399) // 3600, ({1} + 86399) % 3600 // 60, ({1} + 86399) % 60) END"
-ORACLES["t13_shifted_trip"] = f"{prelude('stop_times.txt')} SELECT csv_row, {_LATER.format('arrival_time', _seconds('arrival_time'))} AS arrival_time, {_LATER.format('departure_time', _seconds('departure_time'))} AS departure_time FROM stop_times WHERE trip_id::BIGINT % 100 = 0"
+ORACLES["t13_shifted_trip"] = f"{prelude('stop_times.txt')} SELECT csv_row, CASE WHEN trip_id::BIGINT % 100 = 0 THEN {_LATER.format('arrival_time', _seconds('arrival_time'))} ELSE arrival_time END AS arrival_time, CASE WHEN trip_id::BIGINT % 100 = 0 THEN {_LATER.format('departure_time', _seconds('departure_time'))} ELSE departure_time END AS departure_time FROM stop_times"
 ORACLES["t14_dropped_route"] = f"""{prelude('routes.txt', 'trips.txt', 'stop_times.txt')}
 SELECT 'routes' AS file, count(*) AS n FROM routes WHERE route_id <> '3' UNION ALL SELECT 'trips', count(*) FROM trips WHERE route_id <> '3'
 UNION ALL SELECT 'stop_times', count(*) FROM stop_times WHERE trip_id NOT IN (SELECT trip_id FROM trips WHERE route_id = '3')"""
@@ -269,7 +273,7 @@ ORACLES["t15_stops_along"] = f"""
 WITH l AS (SELECT n_nationkey::VARCHAR AS route_id, n_nationkey + 1 AS degrees, {_HAVERSINE.format('0', '0', '0', '(n_nationkey + 1)')} AS total FROM nation),
 c AS (SELECT *, greatest(2, round_even(total / 40000.0, 0)::BIGINT + 1) AS stops FROM l)
 SELECT route_id, n, round(degrees * n / (stops - 1), 6) AS lon, round(total * n / (stops - 1), 3) AS along_m FROM c, unnest(generate_series(0::BIGINT, stops - 1)) t(n)"""
-ORACLES["u6_orphan_nodes"] = "SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_orderkey % 100 = 0 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0 AND l_orderkey % 100 <> 0)"
+ORACLES["u6_orphan_nodes"] = "SELECT DISTINCT l_partkey * 100 + l_quantity::BIGINT AS node FROM lineitem WHERE l_orderkey % 100 <> 0"
 ORACLES["g_gaps_and_islands"] = """
 WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem),
 g AS (SELECT *, line - row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS island FROM l)
@@ -279,9 +283,9 @@ SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY island) -
 ORACLES["x_time_parse"] = f"""{prelude('frequencies.txt')}, s AS (SELECT csv_row, {_seconds('start_time')} AS seconds FROM frequencies)
 SELECT csv_row, seconds, format('{{:02d}}:{{:02d}}:{{:02d}}', (seconds + 90000) // 3600, (seconds + 90000) % 3600 // 60, (seconds + 90000) % 60) AS later, seconds AS lenient FROM s"""
 ORACLES["x_haversine"] = f"SELECT s_suppkey, round({_HAVERSINE.format('60.17', '24.94', 'lat', 'lon')}, 3) AS metres FROM (SELECT s_suppkey, (s_suppkey * 37 % 9000)::DOUBLE / 100 AS lat, (s_suppkey * 91 % 18000)::DOUBLE / 100 AS lon FROM supplier)"
-ORACLES["x_text_escapes"] = r"""WITH t AS (SELECT doc_id, substring(text, 1, 400) AS t FROM documents), c AS (SELECT *, CASE WHEN length(t) > 120 THEN substring(t, 1, 120) || '…' ELSE t END AS clipped FROM t)
+ORACLES["x_text_escapes"] = r"""WITH t AS (SELECT doc_id, text AS t FROM documents), c AS (SELECT *, CASE WHEN length(t) > 120 THEN substring(t, 1, 120) || '…' ELSE t END AS clipped FROM t)
 SELECT doc_id, clipped, replace(replace(replace(replace(replace(clipped, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html,
-regexp_replace(regexp_replace(lower(substring(t, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM c"""
+regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM c"""
 ORACLES["x_markdown"] = r"""SELECT page_id, regexp_replace(regexp_replace(CASE WHEN length(html) > 200 THEN substring(html, 1, 200) || '…' ELSE html END, '[\r\n]+', ' ', 'g'), '([\\`*_\[\]<>|])', '\\\1', 'g') AS cell FROM pages"""
 ORACLES["x_safe_names"] = r"""WITH n AS (SELECT page_id, substring(url, instr(url, '://') + 3) AS name FROM pages)
 SELECT page_id, name <> '' AND NOT starts_with(name, '/') AND NOT regexp_matches(name, '^[A-Za-z]:') AND len(list_filter(string_split(name, '/'), lambda p: p IN ('', '.', '..'))) = 0 AS member,

@@ -91,6 +91,15 @@ def j4_unusable_trips_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.without_stop_times(f.select("trips.txt", "trip_id"), f.tables["stop_times.txt"]).select("trip_id", "csv_row")
 
 
+@query
+def j5_single_or_unused_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of few points, many of which no trip names."""
+    points = source(spark, sf_dir, "events").selectExpr("cast(event_id + 2 as bigint) as csv_row", "cast(event_id * 7919 % 9001 as string) as shape_id", "'1' as shape_pt_lat", "'2' as shape_pt_lon", "cast(event_id as string) as shape_pt_sequence")
+    trips_ = source(spark, sf_dir, "orders").selectExpr("cast(o_orderkey + 2 as bigint) as csv_row", "cast(o_orderkey as string) as trip_id", "cast(o_custkey as string) as shape_id")
+    found = _union(shapes.shape_notices(Feed({"shapes.txt": points, "trips.txt": trips_})), spark)
+    return _context(found.where(F.col("code").isin("unused_shape", "single_shape_point")), shape="shapeId")
+
+
 @query
 def j5_unused_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _union(shapes.shape_notices(star_feed(spark, sf_dir, "shapes.txt", "trips.txt")), spark)
@@ -153,6 +162,14 @@ def a5_service_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendars.window(calendars.service_calendars(star_feed(spark, sf_dir, "calendar.txt", "calendar_dates.txt")).dates).select(F.col("first").alias("first_day"), F.col("last").alias("last_day"))
 
 
+@query
+def a6_expired_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services (one a customer) whose last day lies before the reference day."""
+    dates = source(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("service_id"), F.col("o_orderdate").cast("date").alias("service_date")).distinct()
+    late = calendars.expired(dates, "2001-03-01")
+    return late.select("service_id", F.date_format("last_date", "yyyyMMdd").alias("last_day"))
+
+
 @query
 def a6_expired_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = star_feed(spark, sf_dir, "calendar.txt", "calendar_dates.txt")
@@ -461,10 +478,11 @@ def t15_stops_along(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def u6_orphan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops of one order that no other has, by way deletion."""
-    ways = source(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("nodes"))
-    gone, rest = ways.where("id % 100 = 0"), ways.where("id % 100 <> 0")
-    return gone.select(F.explode("nodes").alias("node")).distinct().join(rest.select(F.explode("nodes").alias("node")), "node", "left_anti")
+    """Nodes left when the ways of every hundredth order are deleted; a node is a part in a quantity."""
+    line = source(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("bigint")).alias("node"))
+    ways = line.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.lit(None).cast("map<string,string>").alias("tags"))
+    nodes = line.select(F.col("node").alias("id")).distinct().withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0), "tags": F.lit(None).cast("map<string,string>")})
+    return network.Network(nodes, ways).delete_ways(F.col("id") % 100 == 0).nodes.select(F.col("id").alias("node"))
 
 
 @query
