@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import notices as N
 from ..feed import Feed
 from ..functions import text
-from ..tables import shared_dir
+from ..tables import unused, written
 
 # Optional fields and the default that replaces a bad value.
 DEFAULTS = (
@@ -118,9 +118,12 @@ def cascade_round(feed: Feed) -> tuple[Feed, dict[str, DataFrame]]:
         return out.withColumn(flag, ok).drop("id", "known")
 
     def split(name: str, rows: DataFrame, ok: str) -> None:
+        """Each table is judged once and written with its verdict; what follows scans that."""
         columns = t[name].columns
-        lost[name] = rows.where(f"not ({ok})").select("csv_row", F.lit("cascade").alias("code"))
-        t[name] = rows.where(ok).select(*columns)
+        stays = unused("stays", columns)
+        judged = written(rows.withColumn(stays, F.expr(ok)).select(*columns, stays), "cascade")
+        lost[name] = judged.where(~F.col(stays)).select("csv_row", F.lit("cascade").alias("code"))
+        t[name] = judged.where(F.col(stays)).select(*columns)
 
     stops, trips, routes = ids("stops.txt", "stop_id"), ids("trips.txt", "trip_id"), ids("routes.txt", "route_id")
     if "stop_times.txt" in t:
@@ -138,14 +141,6 @@ def cascade_round(feed: Feed) -> tuple[Feed, dict[str, DataFrame]]:
     return Feed(t, feed.headers, feed.incomplete, feed.present, feed.notices, feed.extras), lost
 
 
-def settled(feed: Feed, names: set[str]) -> Feed:
-    """The named tables with their lineage cut; a lost executor costs a re-read."""
-    spark = next(iter(feed.tables.values())).sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return Feed({k: v.checkpoint() if k in names else v for k, v in feed.tables.items()}, feed.headers, feed.incomplete, feed.present, feed.notices, feed.extras)
-
-
 def cascade(feed: Feed, rounds: int = ROUNDS) -> Repaired:
     """Rounds until one changes nothing, at most ``rounds``."""
     spark = next(iter(feed.tables.values())).sparkSession
@@ -156,12 +151,11 @@ def cascade(feed: Feed, rounds: int = ROUNDS) -> Repaired:
         found = parts[0] if parts else fixes.limit(0)
         for p in parts[1:]:
             found = found.unionAll(p)
-        found = found.persist()
-        changed = {r.filename for r in found.select("filename").distinct().collect()}
-        if not changed:
+        found = written(found, "cascade-fixes")
+        if not found.limit(1).count():
             break
         fixes = fixes.unionAll(found)
-        feed = settled(after, changed)
+        feed = after
     return Repaired(feed, fixes)
 
 

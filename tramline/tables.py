@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,11 @@ def _release(spark: SparkSession) -> None:
             _delete(spark, path)
     except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder's owner cleans up
         return
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name`` or a variant of it that no column in ``taken`` bears."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
