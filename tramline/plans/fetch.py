@@ -38,9 +38,13 @@ def covers(window: tuple[str, str] | None, day: str | None) -> bool:
 
 
 def fetch(
-    spark: SparkSession, client: catalog.Client, area: Any, when: str | dt.date | None = None, *, modes: Sequence[str] | None = None, repair: bool = True, crop: bool = True, country_code: str | None = None, directory: str = ".", **budgets: Any,
+    spark: SparkSession, client: catalog.Client, area: Any, when: str | dt.date | None = None, *, modes: Sequence[str] | None = None, repair: bool = False, crop: bool = True, country_code: str | None = None, directory: str = ".", **budgets: Any,
 ) -> FetchResult:
-    """Every matching feed, best first; one that fails is skipped with its reason."""
+    """Every matching feed, best first; one that fails is skipped with its reason.
+
+    Without a token the catalogue's CSV is searched, and the latest hosted
+    archive of each feed is taken as it stands.
+    """
     box = catalog.bounds(area)
     if modes is not None and (odd := set(modes) - set(modes_fn.MODES)):
         raise ValueError(f"unknown modes {sorted(odd)}")
@@ -49,7 +53,11 @@ def fetch(
         budgets.setdefault("reference_date", day.isoformat())
     tag = hashlib.sha256(json.dumps([box, str(day), sorted(modes or ()), repair, crop, sorted(budgets.items())], default=str).encode()).hexdigest()[:8]
     out = FetchResult()
-    found = catalog.ranked(client.feeds(spark, area=box, country_code=country_code))
+    if client.refresh_token is not None:
+        matching = client.feeds(spark, area=box, country_code=country_code)
+    else:
+        matching = catalog.search(catalog.read_csv(spark, client.catalogue(directory)), area=box, country_code=country_code)
+    found = catalog.ranked(matching)
     for feed in found.collect():  # a page of a catalogue, not data
         try:
             path = _one(spark, client, feed, box, day, modes, repair, crop, directory, tag, budgets, out)

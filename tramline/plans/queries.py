@@ -547,13 +547,13 @@ def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t18_catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = catalog.search(_feeds(spark, sf_dir), area=(10.0, 5.0, 60.0, 30.0))
+    found = catalog.search(_feeds(spark, sf_dir), area=(10.0, 5.0, 60.0, 30.0), limit=None)
     return found.select("id", "official")
 
 
 @query
 def t18_catalog_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.search(_feeds(spark, sf_dir), country_code="C7", status=None, area=(0.0, 0.0, 95.0, 50.0), enclosure="completely_enclosed").select("id", "status")
+    return catalog.search(_feeds(spark, sf_dir), country_code="C7", status=None, area=(0.0, 0.0, 95.0, 50.0), enclosure="completely_enclosed", limit=None).select("id", "status")
 
 
 @query

@@ -6,6 +6,7 @@ that selects or ranks is expressions over DataFrames.
 
 from __future__ import annotations
 
+import email.utils
 import hashlib
 import json
 import os
@@ -31,6 +32,7 @@ FEED_SCHEMA = (
 DATASET_SCHEMA = "id string, feed_id string, hosted_url string, downloaded_at timestamp, hash string, first_day date, last_day date, report_url string, raw string"
 # Statuses of a reply that are tried again, and how often.
 RETRIED, TRIES = (429, 500, 502, 503, 504), 3
+CSV_SECONDS = 24 * 3600
 
 
 class MissingTokenError(RuntimeError):
@@ -73,6 +75,20 @@ def safe_id(value: str) -> str:
     return value
 
 
+def pause(said: str | None, otherwise: float) -> float:
+    """Seconds that a Retry-After header asks for: a number, or a date."""
+    if not said:
+        return otherwise
+    try:
+        return max(0.0, float(said))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, email.utils.parsedate_to_datetime(said).timestamp() - time.time())
+    except (TypeError, ValueError):
+        return otherwise
+
+
 @dataclass
 class Client:
     """The catalogue's API: tokens, paging, and tries after refusals."""
@@ -81,6 +97,7 @@ class Client:
     refresh_token: str | None = None
     transport: Transport = http
     wait: Callable[[float], None] = time.sleep
+    csv_url: str | None = None
     _token: str | None = field(default=None, repr=False)
 
     def token(self) -> str:
@@ -105,10 +122,25 @@ class Client:
                 renewed, self._token = True, None
             elif status in RETRIED and tries < TRIES:
                 tries += 1
-                self.wait(float(headers.get("Retry-After", 2**tries)))
+                self.wait(pause(headers.get("Retry-After"), 2**tries))
             else:
                 raise OSError(f"{path}: reply {status}")
 
+    def catalogue(self, folder: str, *, update: bool = False) -> str:
+        """The catalogue's CSV, fetched again once the copy in ``folder`` is a day old."""
+        if self.csv_url is None:
+            raise MissingTokenError("without a refresh token a csv_url is needed")
+        path = os.path.join(folder, "catalogue.csv")
+        if update or not os.path.exists(path) or time.time() - os.path.getmtime(path) >= CSV_SECONDS:
+            status, _, body = self.transport("GET", self.csv_url, {}, None)
+            if status != 200:
+                raise OSError(f"{self.csv_url}: reply {status}")
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{path}.part", "wb") as f:
+                f.write(body)
+            os.replace(f"{path}.part", path)
+        return path
+
     def pages(self, path: str, params: dict[str, Any], limit: int | None, wanted: Callable[[dict[str, Any]], bool] | None = None, size: int = 100) -> Iterator[dict[str, Any]]:
         """Records page by page until ``limit``; without a predicate no page is longer than what is missing."""
         offset, given = 0, 0
@@ -216,11 +248,11 @@ def _says(value: str) -> Callable[[Column], Column]:
     return lambda place: F.lower(place) == value.lower()
 
 
-def search(feeds: DataFrame, *, area: Any = None, enclosure: str = "partially_enclosed", country_code: str | None = None, subdivision: str | None = None, municipality: str | None = None, status: str | None = "active", official_only: bool = False) -> DataFrame:
-    """Static schedule feeds that match; text is compared without regard to case, boundaries count as inside."""
+def search(feeds: DataFrame, *, area: Any = None, enclosure: str = "partially_enclosed", country_code: str | None = None, subdivision: str | None = None, municipality: str | None = None, status: str | None = "active", official_only: bool = False, limit: int | None = 100) -> DataFrame:
+    """The first ``limit`` static schedule feeds that match, by id; text is compared without regard to case, boundaries count as inside."""
     if enclosure not in ("partially_enclosed", "completely_enclosed"):
         raise ValueError(f"unknown enclosure {enclosure!r}")
-    out = feeds.where(F.coalesce(F.lower("data_type"), F.lit("gtfs")) == "gtfs")
+    out = feeds.where(F.col("data_type") == "gtfs")
     for name, value in (("country_code", country_code), ("subdivision_name", subdivision), ("municipality", municipality)):
         if value is not None:
             out = out.where(F.exists(F.col(f"locations.{name}"), _says(value)))
@@ -229,7 +261,7 @@ def search(feeds: DataFrame, *, area: Any = None, enclosure: str = "partially_en
     if area is not None:
         sides = [F.col(c) for c in ("west", "south", "east", "north")]
         out = out.where(geo.boxes_meet(bounds(area), *sides) if enclosure == "partially_enclosed" else geo.box_inside(bounds(area), *sides))
-    return out
+    return out if limit is None else out.orderBy("id").limit(limit)
 
 
 def ranked(feeds: DataFrame) -> DataFrame:
