@@ -31,7 +31,11 @@ FOLDS = 4
 BINS = 2048
 RIDGE = 1e-3
 GAMMA = 0.035
+#: The random features weigh this much beside the plain statistics.
+KERNEL_SCALE = 8
 BLOCKS = 8
+#: Labelled rows behind one task's sums, and the sums that one task adds up.
+ROWS_PER_SUM, SUMS = 1 << 14, 64
 
 _CLASS = {
     "alpha": bytes([*range(65, 91), *range(97, 123), *range(128, 256)]),
@@ -139,7 +143,7 @@ def _features(stats: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.nd
     x = np.clip((stats - centre) / scale, -6, 6)
     turn = rng.normal(0, np.sqrt(2 * GAMMA), (STATS, FEATURES))
     shift = rng.uniform(0, 2 * np.pi, FEATURES)
-    return np.concatenate([np.ones((len(x), 1)), x, np.sqrt(2 / FEATURES) * 8 * np.cos(x @ turn + shift)], axis=1)
+    return np.concatenate([np.ones((len(x), 1)), x, np.sqrt(2 / FEATURES) * KERNEL_SCALE * np.cos(x @ turn + shift)], axis=1)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -189,7 +193,13 @@ def fit(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: s
         total = sum(np.frombuffer(x.as_buffer()) for x in table["part"])
         return pa.table({"fold": [key[0].as_py()], "block": [key[1].as_py()], "part": [total.tobytes()]}, schema=table.schema)
 
-    parts = rows.mapInArrow(equations, "fold int, block int, part binary").groupBy("fold", "block").applyInArrow(added, "fold int, block int, part binary").collect()
+    # As many sums as the labelled rows need, added by groups of at most SUMS.
+    tasks, wide = 1 + int(n) // ROWS_PER_SUM, "fold int, block int, part binary"
+    parts = rows.coalesce(tasks).mapInArrow(equations, wide)
+    while tasks > SUMS:
+        tasks = -(-tasks // SUMS)
+        parts = parts.groupBy("fold", "block", F.pmod(F.spark_partition_id(), F.lit(tasks)).alias("salt")).applyInArrow(lambda key, table: added(key[:2], table), wide)
+    parts = parts.groupBy("fold", "block").applyInArrow(added, wide).collect()
     each = np.zeros((FOLDS, dim, dim + 1))
     split = np.array_split(np.arange(dim), BLOCKS)
     for p in parts:
