@@ -211,7 +211,7 @@ def _blocks(n: str, size: str) -> Column:
 
 
 def _searched(rows: DataFrame, bags: DataFrame, similarity: float, masked: bool, name: str) -> DataFrame:
-    """Links of rows(rep, key, place, side, band, part), small places grouped to about a block."""
+    """Links of rows(rep, key, place, side, band, part[, bands]), small places grouped to about a block."""
     rows = shared.written(rows, f"{name}-places")
     members = bags.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
     groups = 1 + int(rows.count() * max(1 / BLOCK, members / BLOCK_MEMBERS))
@@ -278,8 +278,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     # Only texts that share a bucket are read again.
     again = _maybe(rows.select(F.col("id").alias("rep"), "key", "text").where("rep is not null"), hubs)
     again = again.join(hubs.select(*KIND), KIND).dropDuplicates(KIND)
-    bags = again.mapInArrow(_bags, "rep long, key long, size long, bag binary")
-    bags = shared.written(bags.join(own.dropDuplicates(KIND), KIND), "bags")
+    bags = shared.written(again.mapInArrow(_bags, "rep long, key long, size long, bag binary"), "bags")
 
     # 1. Each kind with its hub.
     sized = hubs.join(bags.select(*KIND, "size"), KIND)
@@ -300,7 +299,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     split = placed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("done").alias("done"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
     split = shared.written(split.where("p < q and not done").select("h", _blocks("n", "all").alias("blocks")), "split-buckets")
     whole = placed.join(split.where("blocks = 1"), "h", "left_semi")
-    more = _searched(whole.select(*KIND, F.col("h").alias("place"), F.lit(0).alias("side"), "band", "part"), bags, similarity, True, "bucket-links")
+    whole = whole.select(*KIND, F.col("h").alias("place"), F.lit(0).alias("side"), "band", "part").join(own.dropDuplicates(KIND), KIND)
+    more = _searched(whole, bags, similarity, True, "bucket-links")
     # 3. Those that no task may hold whole.
     if split.where("blocks > 1").limit(1).count():
         wide = shared.written(placed.join(split.where("blocks > 1"), "h", "left_semi").select(*KIND, "part").distinct(), "wide")
