@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
         # Tables here have a few rows: compiling code for them takes longer than running it.
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        # Recording where each expression was written costs more than making it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")

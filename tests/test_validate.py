@@ -1,3 +1,4 @@
+import csv
 import zipfile
 
 import pytest
@@ -6,6 +7,7 @@ from tests import feeds
 from tramline import spec
 from tramline.feed import from_rows
 from tramline.plans.validate import validate, validate_feed
+from tramline.sources import archive
 
 DAY = spec.Budgets(reference_date="2026-06-01")
 
@@ -137,3 +139,33 @@ def test_quota(spark):
     limits = [r["context"] for r in result.notices.where("code = 'notice_limit_reached'").collect()]
     assert {c["filename"]: c["suppressedCount"] for c in limits}["stop_times.txt"] in ("11", "4")
     assert result.notices.where("code = 'invalid_time'").count() == 3
+
+
+@pytest.mark.parametrize("rows", [3, 60_000])  # below and above the size that is read by the driver
+def test_a_damaged_member_is_reported_and_the_rest_read(spark, tmp_path, rows):
+    t = feeds.clean()
+    t["stop_times.txt"] *= rows
+    path = feeds.write(tmp_path / "feed.zip", t)
+    raw = bytearray((tmp_path / "feed.zip").read_bytes())
+    with zipfile.ZipFile(path) as z:
+        info = z.getinfo("stop_times.txt")
+        assert (info.file_size > archive.LOCAL_BYTES) == (rows > 3)
+    at = info.header_offset + 30 + len("stop_times.txt") + info.compress_size // 2
+    raw[at] ^= 0xFF
+    (tmp_path / "bad.zip").write_bytes(raw)
+    feed = archive.read(spark, str(tmp_path / "bad.zip"))
+    assert "stop_times.txt" in feed.incomplete and "stop_times.txt" not in feed.tables and feed.tables["trips.txt"].count() == 1
+    assert [r.file for r in feed.notices.where("code = 'unreadable_file'").collect()] == ["stop_times.txt"]
+
+
+def test_a_record_that_is_no_csv(spark, tmp_path, monkeypatch):
+    t = feeds.clean()
+    t["stops.txt"][1]["stop_name"] = "x" * 500
+    path = feeds.write(tmp_path / "feed.zip", t)
+    before = csv.field_size_limit(100)
+    try:
+        feed = archive.read(spark, path)
+        assert feed.tables["stops.txt"].count() == 1
+        assert [(r.file, r.csv_row) for r in feed.notices.where("code = 'csv_parsing_failed'").collect()] == [("stops.txt", 3)]
+    finally:
+        csv.field_size_limit(before)

@@ -13,6 +13,7 @@ import json
 import os
 import stat
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import replace
@@ -34,12 +35,24 @@ csv.field_size_limit(1 << 30)
 LOCAL_BYTES = 1 << 20
 
 
-def _records(raw: io.BufferedIOBase) -> Iterator[list[str]]:
-    """CSV records; bytes that aren't UTF-8 become U+FFFD, blank lines don't count."""
-    text = io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline="")
-    for record in csv.reader(text):
+#: What reading a damaged or locked member raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError)
+
+
+def _records(raw: io.BufferedIOBase) -> Iterator[tuple[list[str], str | None]]:
+    """CSV records, each with what is wrong with it as CSV; bytes that aren't
+    UTF-8 become U+FFFD, blank lines don't count."""
+    reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline=""))
+    while True:
+        try:
+            record = next(reader)
+        except StopIteration:
+            return
+        except csv.Error as e:
+            yield [], str(e)
+            continue
         if record:
-            yield record
+            yield record, None
 
 
 class _Member(InputPartition):
@@ -50,28 +63,41 @@ class _Member(InputPartition):
 class FeedTableReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]) -> None:
         self.path, self.members = options["path"], json.loads(options["members"])
-        self.most = int(options.get("max_rows", "20000000"))
+        self.most, self.check = int(options.get("max_rows", "20000000")), options.get("check") == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [_Member(self.path, m) for m in self.members]
 
-    def read(self, partition: _Member) -> Iterator[tuple[str, int, list[str]]]:
+    def read(self, partition: _Member) -> Iterator[tuple[str, int, list[str], str | None]]:
+        if self.check:
+            yield from self._damage(partition)
+            return
         with zipfile.ZipFile(partition.path) as z, z.open(partition.member) as raw:
-            for k, fields in enumerate(_records(raw), 1):
+            for k, (fields, fault) in enumerate(_records(raw), 1):
                 if k > self.most + 2:  # one record past the limit shows that there are more
                     return
-                yield partition.member, k, fields
+                yield partition.member, k, fields, fault
+
+    def _damage(self, partition: _Member) -> Iterator[tuple[str, int, list[str], str | None]]:
+        """One row if the member can't be read to its end."""
+        try:
+            with zipfile.ZipFile(partition.path) as z, z.open(partition.member) as raw:
+                while raw.read(1 << 20):
+                    pass
+        except UNREADABLE as e:
+            yield partition.member, 0, [], str(e)
 
 
 class FeedTableSource(DataSource):
-    """``spark.read.format("tramline_feed")``: options path, members (JSON list), max_rows."""
+    """``spark.read.format("tramline_feed")``: options path, members (JSON list),
+    max_rows, and check=true for only the members that can't be read."""
 
     @classmethod
     def name(cls) -> str:
         return "tramline_feed"
 
     def schema(self) -> str:
-        return "member string, csv_row bigint, fields array<string>"
+        return "member string, csv_row bigint, fields array<string>, fault string"
 
     def reader(self, schema: StructType) -> FeedTableReader:
         return FeedTableReader(self.options)
@@ -136,9 +162,11 @@ def _header(path: str, name: str, budgets: spec.Budgets) -> tuple[list[str] | No
                 if head.count(b",") > max(4 * budgets.max_columns, 4096):
                     return None, ("unreadable_file", "the header has too many delimiters")
             with z.open(name) as raw:
-                header = next(_records(raw), None)
-    except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError, RuntimeError, csv.Error) as e:
+                header, fault = next(_records(raw), (None, None))
+    except UNREADABLE as e:
         return None, ("unreadable_file", str(e))
+    if fault is not None:
+        return None, ("csv_parsing_failed", fault)
     if header is None:
         return None, ("empty_file", "")
     if len(header) > budgets.max_columns:
@@ -153,7 +181,24 @@ def _raw(spark: SparkSession, path: str, info: zipfile.ZipInfo, budgets: spec.Bu
         return spark.read.format("tramline_feed").options(path=path, members=json.dumps([info.filename]), max_rows=str(budgets.max_rows)).load().drop("member")
     with zipfile.ZipFile(path) as z, z.open(info.filename) as raw:
         records = list(islice(_records(raw), budgets.max_rows + 2))
-    return spark.createDataFrame(pa.table({ROW: pa.array(range(1, len(records) + 1), pa.int64()), "fields": pa.array(records, pa.list_(pa.string()))}))
+    return spark.createDataFrame(
+        pa.table({ROW: pa.array(range(1, len(records) + 1), pa.int64()), "fields": pa.array([f for f, _ in records], pa.list_(pa.string())), "fault": pa.array([e for _, e in records], pa.string())})
+    )
+
+
+def damaged(spark: SparkSession, path: str, found: Mapping[str, zipfile.ZipInfo]) -> dict[str, str]:
+    """Why members can't be read to their end; large ones are looked at in tasks."""
+    out: dict[str, str] = {}
+    large = sorted(n for n, info in found.items() if info.file_size > LOCAL_BYTES)
+    if large:
+        out |= {r.member: r.fault for r in spark.read.format("tramline_feed").options(path=path, members=json.dumps(large), check="true").load().collect()}
+    for name in set(found) - set(large):
+        try:
+            with zipfile.ZipFile(path) as z:
+                z.read(name)
+        except UNREADABLE as e:
+            out[name] = str(e)
+    return out
 
 
 def header_notices(name: str, header: list[str]) -> list[tuple]:
@@ -193,13 +238,15 @@ def shaped(raw: DataFrame, name: str, header: list[str], budgets: spec.Budgets)
     long = width != len(header)
     blank = F.forall("fields", lambda f: F.regexp_replace(f, r"(?U)^\s+|\s+$", "") == "")
     odd = F.exists("fields", lambda f: F.instr(f, "�") > 0)
+    body, faulty = body.where("fault is null"), body.where("fault is not null")
     found = [
         F.when(long, N.notice("invalid_row_length", N.ERROR, filename=name, csvRowNumber=at, rowLength=width, headerCount=F.lit(len(header)))),
         F.when(~long & blank, N.notice("empty_row", N.WARNING, place=1, filename=name, csvRowNumber=at)),
         F.when(~long & ~blank & odd, N.notice("invalid_character", N.ERROR, place=2, filename=name, csvRowNumber=at)),
     ]
     table = body.where(~long & ~blank & ~odd).select(ROW, *[F.col("fields")[k].alias(c) for k, c in enumerate(stored_names(header))])
-    return table, N.emit(body, found, stage="read", file=name, number=1)
+    failed = N.notice("csv_parsing_failed", N.ERROR, filename=name, csvRowNumber=at, message=F.col("fault"))
+    return table, N.emit(body, found, stage="read", file=name, number=1).unionAll(N.emit(faulty, [failed], stage="read", file=name, number=1))
 
 
 def feed_level(feed: Feed, counts: Mapping[str, int]) -> list[tuple]:
@@ -222,11 +269,15 @@ def read(spark: SparkSession, path: str, budgets: spec.Budgets | None = None) ->
     found, present, out = listing(path, budgets)
     incomplete = {f for f, code, *_ in out if code in ("duplicate_zip_entry", "unreadable_file")}
     tables, headers, rows = {}, {}, []
-    for name in sorted(found):
+    lost = damaged(spark, path, found)
+    for name, why in sorted(lost.items()):
+        out.append((name, "unreadable_file", N.ERROR, None, {"filename": name, "message": why}))
+        incomplete.add(name)
+    for name in sorted(set(found) - set(lost)):
         header, refused = _header(path, name, budgets)
         if header is None:
             out.append((name, refused[0], N.ERROR, None, {"filename": name} | ({"message": refused[1]} if refused[1] else {})))
-            incomplete |= {name} if refused[0] == "unreadable_file" else set()
+            incomplete |= {name} if refused[0] in ("unreadable_file", "csv_parsing_failed") else set()
             continue
         out += header_notices(name, header)
         raw = _raw(spark, path, found[name], budgets)
