@@ -107,8 +107,11 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     each = shared.written(own.mapInArrow(singles, _WINDOWS), "windows")
     again.destroy()
+    later = shared.written(later, "later")
+    shared.discard(placed)
     twice = each.groupBy("h1", "h2").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("last > holder").select("h1", "h2", "holder")
-    apart = each.join(twice, ["h1", "h2"]).where("id > holder").select("id", "key", "at", F.lit(1).alias("n"))
+    apart = shared.written(each.join(twice, ["h1", "h2"]).where("id > holder").select("id", "key", "at", F.lit(1).alias("n")), "apart")
+    shared.discard(each)
     return later.unionAll(apart)
 
 

@@ -119,6 +119,8 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     places = shared.written(own.mapInArrow(segments, _SEGMENTS), "segments")
     again.destroy()
+    later = shared.written(later, "later")
+    shared.discard(placed)
     # The bytes of a segment settle its anchor.
     kinds = shared.written(places.groupBy("anchor", "body").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")), "segment-kinds")
     blocks = max(1, -(-(kinds.agg(F.sum(F.octet_length("body") + 1)).first()[0] or 0) // BLOCK_BYTES))
