@@ -82,10 +82,13 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     found = shared.written(rows.mapInArrow(runs, _RUNS), "runs")
     sketch.destroy()
-    holder = found.groupBy("c1", "c2").agg(F.min("id").alias("holder"))
-    placed = shared.written(found.join(holder, ["c1", "c2"]).select("id", "key", "at", "n", F.when(F.col("id") == F.col("holder"), F.col("body")).alias("body")), "placed")
+    # Written, so that a run which very many texts share is split between tasks in the join.
+    holder = found.groupBy("c1", "c2").agg(F.min("id").alias("holder"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    holder = shared.written(holder.select("c1", "c2", "holder"), "holders")
+    placed = shared.written(found.join(holder, ["c1", "c2"], "left").select("id", "key", "at", "n", F.when(F.coalesce(F.col("id") == F.col("holder"), F.lit(True)), F.col("body")).alias("body")), "placed")
     later, own = placed.where("body is null").select("id", "key", "at", "n"), placed.where("body is not null").select("id", "key", "at", "body")
     shared.discard(found)
+    shared.discard(holder)
     bits = windows.sketch_bits(windows.total_bytes(own, "body") / 5, 2 / (width - gram + 2), 8)
     again = spark.sparkContext.broadcast(windows.repeated_cells(own.select("body"), _split, width, gram, bits))
 
