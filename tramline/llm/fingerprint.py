@@ -9,7 +9,9 @@ they share; peeling then recovers the digests in which they differ, and
 likeness = shared / (shared + differing).
 
 The table written as ``fingerprint`` has a fixed number of cells.  If peeling
-it fails, larger tables are made of both texts until it succeeds.  Cells are
+it fails, larger tables are made of both texts, sized by an estimate of their
+difference and larger each time, until it succeeds; what even the last leaves
+is compared directly.  Cells are
 rows and peeling is grouped sums over them, so a long document's table is
 never handled as one value.
 
@@ -32,7 +34,9 @@ from . import shared
 PIECE = 100
 THIRD = 6
 CELLS = 3 * THIRD
-#: Cells for each digest in the larger tables, tried in this order.
+#: Digests of a pair that its difference is estimated by.
+SMALLEST = 32
+#: Cells for each digest of the estimated difference in the larger tables, tried in this order.
 LOADS = (1.8, 4.0, 12.0)
 SWEEPS = 5
 FIRST_SWEEPS = 3
@@ -104,9 +108,17 @@ def _peel(cells: DataFrame, sweeps: int) -> DataFrame:
         cells.sparkSession.catalog.dropTempView(view)
 
 
+def _estimated(own: Column, other: Column) -> Column:
+    """How many digests two sets probably differ in, by the smallest ``SMALLEST`` of their union."""
+    a, b = (F.slice(F.array_sort(c), 1, SMALLEST) for c in (own, other))
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SMALLEST)
+    alike = F.size(F.array_intersect(F.array_intersect(least, a), b)) / F.size(least)
+    return (F.size(own) + F.size(other)) * (1 - alike) / (1 + alike)
+
+
 def _tables(pairs: DataFrame, load: float) -> DataFrame:
-    """Subtracted cells of larger tables, ``load`` cells for each digest of the two."""
-    third = F.ceil((F.size("own") + F.size("other")) * F.lit(load / 3)).cast("int") + 4
+    """Subtracted cells of larger tables, ``load`` cells for each digest that the two probably differ in."""
+    third = F.ceil((F.col("differ") * 1.25 + 8) * F.lit(load / 3)).cast("int") + 4
     signed = F.concat(F.transform("own", lambda k: F.struct(k.alias("k"), F.lit(1).alias("n"))), F.transform("other", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("n"))))
     rows = pairs.select("uid", "pair", third.alias("third"), F.inline(signed)).withColumn("c", F.xxhash64("k", F.lit(97)))
     rows = rows.select("uid", "pair", "third", "n", "k", "c", F.explode(F.array(*[_place(t, F.col("k"), F.col("third")) for t in range(3)])).alias("cell"))
@@ -125,7 +137,7 @@ def differences(pairs: DataFrame) -> DataFrame:
     known = pairs.where(same).select("uid", "pair", F.lit(0).cast("long").alias("d"))
     first = pairs.where(hopeful).select("uid", "pair", F.lit(THIRD).alias("third"), F.posexplode("cells").alias("cell", "x")).select("uid", "pair", "third", "cell", F.col("x.n").cast("long").alias("n"), "x.k", "x.c").where(~_empty())
     solved = shared.written(_peel(first.repartition("uid"), FIRST_SWEEPS).where("found is not null").select("uid", "pair", F.col("found").alias("d")).unionAll(known), "peeled")
-    rest = pairs.select("uid", "pair", "own", "other").join(solved, ["uid", "pair"], "left_anti")
+    rest = pairs.select("uid", "pair", "own", "other", _estimated(F.col("own"), F.col("other")).alias("differ")).join(solved, ["uid", "pair"], "left_anti")
     for load in LOADS:
         peeled = _peel(_tables(rest.repartition("uid"), load), SWEEPS)
         got = shared.written(peeled.where("found is not null").select("uid", "pair", F.col("found").alias("d")), "peeled")

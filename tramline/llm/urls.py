@@ -105,7 +105,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page_id",
     members = nodes.withColumns({"host": F.regexp_extract("node", r"(?s)^([^/?]*)", 1), "path": F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1)})
     members = members.select("component", member_verdict.alias("v"))
     decided = members.groupBy("component").agg(F.max(F.col("v") == "block").alias("blocks"), F.max(F.col("v") == "allow").alias("allows"))
+    # Written, so that one component's nodes can be split between tasks in the join.
+    decided = shared.written(decided, "decided")
     aliases = nodes.join(decided, "component").select(F.col("node").alias("key"), "component", (F.coalesce("blocks", F.lit(False)) & ~F.coalesce("allows", F.lit(False))).alias("spread"))
-    judged = own.join(aliases, "key", "left")
+    without = own.where("key is null").withColumns({"component": F.lit(None).cast("string"), "spread": F.lit(False)})
+    judged = own.where("key is not null").join(aliases, "key", "left").unionByName(without)
     final = F.coalesce("own_verdict", F.when(F.col("spread"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", final.alias("verdict"), "component")
