@@ -85,7 +85,6 @@ def test_fetch(spark, tmp_path):
         fetch.fetch(spark, client, (0, 0, 1, 1), modes=["rocket"])
 
 
-@pytest.mark.slow
 def test_report(spark):
     t = feeds.clean()
     t["stops.txt"][0]["stop_lat"] = "x|y"

@@ -70,7 +70,6 @@ def test_crop(spark, options, trips):
     assert {r.trip_id for r in cut.tables["trips.txt"].collect()} == trips
 
 
-@pytest.mark.slow
 def test_crop_archive_clamps(spark, tmp_path):
     path = feeds.write(tmp_path / "in.zip", crop_feed())
     done = transform.crop_feed(spark, path, str(tmp_path / "out.zip"), box=(24.8, 60.0, 25.1, 60.3), start_date="20260601", end_date="20260630")

@@ -32,7 +32,6 @@ def test_clean_archive(spark, tmp_path):
     assert result.as_dict()["notices"][0]["severity"] == "WARNING"
 
 
-@pytest.mark.slow
 def test_structural_defects(spark, tmp_path):
     tables = feeds.clean()
     del tables["stops.txt"], tables["routes.txt"], tables["calendar.txt"]
@@ -53,7 +52,6 @@ def test_structural_defects(spark, tmp_path):
     assert got["empty_file"] == 2
 
 
-@pytest.mark.slow
 def test_duplicate_member_and_row_budget(spark, tmp_path):
     path = tmp_path / "twice.zip"
     feeds.write(path, feeds.clean())

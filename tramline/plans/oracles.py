@@ -273,7 +273,8 @@ ORACLES["t15_stops_along"] = f"""
 WITH l AS (SELECT n_nationkey::VARCHAR AS route_id, n_nationkey + 1 AS degrees, {_HAVERSINE.format('0', '0', '0', '(n_nationkey + 1)')} AS total FROM nation),
 c AS (SELECT *, greatest(2, round_even(total / 40000.0, 0)::BIGINT + 1) AS stops FROM l)
 SELECT route_id, n, round(degrees * n / (stops - 1), 6) AS lon, round(total * n / (stops - 1), 3) AS along_m FROM c, unnest(generate_series(0::BIGINT, stops - 1)) t(n)"""
-ORACLES["u6_orphan_nodes"] = "SELECT DISTINCT l_partkey * 100 + l_quantity::BIGINT AS node FROM lineitem WHERE l_orderkey % 100 <> 0"
+ORACLES["u6_orphan_nodes"] = "SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_orderkey % 100 = 0 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 <> 0)"
+ORACLES["u6_nodes_left"] = "SELECT DISTINCT l_partkey * 100 + l_quantity::BIGINT AS node FROM lineitem WHERE l_orderkey % 100 <> 0"
 ORACLES["g_gaps_and_islands"] = """
 WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem),
 g AS (SELECT *, line - row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS island FROM l)

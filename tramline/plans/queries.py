@@ -478,10 +478,19 @@ def t15_stops_along(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def u6_orphan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that only every hundredth order has, by way deletion."""
+    line = source(spark, sf_dir, "lineitem")
+    ways = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("nodes"))
+    nodes = line.select(F.col("l_partkey").alias("id")).distinct()
+    return network.Network(nodes, ways).orphans(F.col("id") % 100 == 0).select(F.col("id").alias("node"))
+
+
+@query
+def u6_nodes_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes left when the ways of every hundredth order are deleted; a node is a part in a quantity."""
     line = source(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("bigint")).alias("node"))
-    ways = line.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.lit(None).cast("map<string,string>").alias("tags"))
-    nodes = line.select(F.col("node").alias("id")).distinct().withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0), "tags": F.lit(None).cast("map<string,string>")})
+    ways = line.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    nodes = line.select(F.col("node").alias("id")).distinct()
     return network.Network(nodes, ways).delete_ways(F.col("id") % 100 == 0).nodes.select(F.col("id").alias("node"))
 
 
