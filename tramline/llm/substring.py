@@ -112,9 +112,12 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     again.destroy()
     later = shared.written(later, "later")
     shared.discard(placed)
+    # Written for the same reason.
     twice = each.groupBy("h1", "h2").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("last > holder").select("h1", "h2", "holder")
+    twice = shared.written(twice, "twice")
     apart = shared.written(each.join(twice, ["h1", "h2"]).where("id > holder").select("id", "key", "at", F.lit(1).alias("n")), "apart")
     shared.discard(each)
+    shared.discard(twice)
     return later.unionAll(apart)
 
 
