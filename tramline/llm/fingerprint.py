@@ -18,7 +18,7 @@ never handled as one value.
 Defined cases: a null text counts as an empty one, which has one empty
 paragraph; equal texts have equal fingerprints and likeness 1; the document
 after the last is the first, so a single document is its own next; rows with
-equal ids follow each other by text; null ids come last; an empty table gives
+equal ids follow each other by text; very long texts count whole; null ids come last; an empty table gives
 an empty result; extra columns are ignored.
 """
 

@@ -8,7 +8,7 @@ pool-adjacent-violators pass over the bins turns scores into probabilities.
 
 Defined cases: a null text counts as an empty one and gets a score like any
 other; a null id is never learned from and is held out = null; a document with several label rows
-takes their mean; rows whose label is null teach nothing; an empty table gives
+takes their mean; rows whose label is null teach nothing; very long texts count whole; rows with equal ids teach once each; an empty table gives
 an empty result; without any label rows every score is 0.5.  Extra columns are
 ignored.
 """

@@ -1,4 +1,13 @@
-"""The stages of the corpus pipeline, one operator each."""
+"""The stages of the corpus pipeline, one operator each.
+
+Defined cases: a null or empty text is scored like any other, is alone among
+near copies, loses no words and gets one row without a sequence; a null id is
+never learned from, is no copy of another and removes nothing; rows with equal
+ids stay or go together where copies are judged, and never remove words from
+each other; ties go to the smallest id; very long texts count whole; an empty
+table gives an empty result; extra columns are kept, whatever their names, but
+by the last stage, which returns its own.
+"""
 
 from __future__ import annotations
 

@@ -17,7 +17,7 @@ Grouped minima are pre-aggregated and joined back by key, so a passage that a
 third of all documents share neither fills one task nor makes pairs.
 
 Defined cases: a null text has no words and an empty result; a text of fewer
-than ``width`` words is left alone; rows with equal ids never remove words from
+than ``width`` words is left alone; very long texts and words count whole; rows with equal ids never remove words from
 each other; a row whose id is null is left alone and removes nothing; an empty
 table gives an empty result; extra columns are kept and may have any name.
 """

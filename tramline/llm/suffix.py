@@ -20,7 +20,7 @@ documents.
 6. What a segment loses goes back to each of its places by its bytes.
 
 Defined cases: a null text is an empty one; a text of fewer than ``width``
-bytes is left alone; rows with equal ids never remove bytes from each other; a
+bytes is left alone; very long texts count whole; rows with equal ids never remove bytes from each other; a
 row whose id is null is left alone and removes nothing; an empty table gives
 an empty result; extra columns are kept and may have any name.  What is kept
 may cut a character, so it is binary.

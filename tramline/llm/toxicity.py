@@ -10,7 +10,8 @@ zero, and is what the scoring tasks receive.
 Defined cases: a null or empty text has no features and scores by the bias
 alone; a null id is never learned from; a document with several label rows
 takes the largest, one with several texts teaches by the smallest; null labels teach nothing; without labels every score is
-0.5; an empty table gives an empty result.  Extra columns are ignored.
+0.5; very long texts count whole; ties in the sample's order go to the smaller id;
+an empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations

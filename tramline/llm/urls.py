@@ -11,7 +11,7 @@ Aliases are told apart by host, path and query; scheme and fragment don't
 count.  Relative targets are resolved against the page's url.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
-no rule and no aliases, and is allowed; null or empty html has no edges; equal
+no rule and no aliases, and is allowed; very long urls and pages count whole; null or empty html has no edges; equal
 urls on several rows share their decision; rules of equal length: allow goes
 first; an empty table gives an empty result; other columns are ignored.
 """
