@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tramline.llm import embeddings, fingerprint, minhash, packing, quality, sentencepiece, stages, substring, suffix, textnum, toxicity, urls
+from tramline.llm import embeddings, fingerprint, minhash, packing, quality, sentencepiece, shared, stages, substring, suffix, textnum, toxicity, urls, windows
 from tramline.llm.queries import PIECE_MODEL
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -291,6 +291,38 @@ def test_repeated_urls_and_a_common_host(spark):
     assert all((r.verdict == "block") == (r.page_id < 300 and r.page_id % 3 == 0) for r in got)
 
 
+def test_more_anchors_than_cells(spark, monkeypatch):
+    """Strings that occur once stay out of the runs when the sketch has fewer cells than anchors."""
+    monkeypatch.setattr(windows, "MIN_BITS", 16)
+    monkeypatch.setattr(windows, "MAX_BITS", 16)
+    rng = random.Random(4)
+    texts = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=6000))) for k in range(300)]
+    same = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400))
+    texts += [(300, texts[0][1] + "0" + same + "1"), (301, "2" + same + "3" + texts[1][1][:2000])]
+    total = sum(len(t) for _, t in texts)
+    assert total * 2 / 27 > 1.8 * (1 << 16)
+    held = []
+
+    def written(df, name, write=shared.written):
+        out = write(df, name)
+        if name in ("runs", "segments"):
+            held.append(out.agg(F.sum(F.octet_length("body"))).first()[0])
+        return out
+
+    monkeypatch.setattr(shared, "written", written)
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(frame).select("doc_id", "dedup.n_removed").collect()}
+    assert {k: n for k, n in got.items() if n} == {300: 6000, 301: 2400}
+    assert max(held) < 0.1 * total
+    # Every anchor that occurs twice is among the bits, and few of the others.
+    data, offsets = textnum.buffers(pa.array([t for _, t in texts]))
+    p = windows.anchored(textnum.byte_values(data, 0), offsets, 50, 25)
+    anchor, times = np.unique(p.anchor[windows.changes(p)], return_counts=True)
+    bits = windows.repeated_anchors(frame.select("text"), suffix._split, 50, 25, 16)
+    hit = windows.among_repeated(bits, anchor)
+    assert hit[times > 1].all() and hit[times == 1].mean() < 0.01
+
+
 def test_texts_longer_than_a_batch(spark):
     """Over 1 MiB: the pieces' seams, windows and strings across them."""
     rng = random.Random(9)

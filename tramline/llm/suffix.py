@@ -4,12 +4,14 @@ A byte goes if a ``width``-byte string that covers it also starts in a
 document with a smaller id; strings are judged on the input and never cross
 documents.
 
-1. A sketch of the strings' anchors (``windows``) rules out most of the unique
-   strings.  What is left stands in runs that are cut by content.
+1. The strings' anchors are counted (``windows.repeated_anchors``), which rules
+   out most of the unique strings.  What is left stands in runs that are cut by
+   content.
 2. Runs are grouped by 128-bit digest: all but those of the smallest document go.
 3. The first holders' runs are sketched again and cut into segments, one for
-   each anchor.  Equal segments become one, with its smallest document and the
-   number of its places, before anything is dealt.
+   each anchor; from here on the anchors take ``TURNS`` turns.  Equal segments
+   become one, with its smallest document and the number of its places, before
+   anything is dealt.
 4. Distinct segments are dealt to blocks by anchor.  In each block a
    Burrows-Wheeler transform and threshold-bounded interval expansion
    (``bwt``) put equal strings into classes, and the smallest document of a
@@ -29,6 +31,7 @@ may cut a character, so it is binary.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,11 @@ from . import bwt, shared, textnum, windows
 WIDTH = 50
 CUT_EVERY = 16
 BLOCK_BYTES = 1 << 20
+#: Segments overlap and weigh several times their text, so anchors take turns.
+TURNS = 2
 #: Distinct segments of one anchor that a block takes; at most 2 * WIDTH bytes each.
 HOT = 1 << 14
+_TURN = np.uint64(0x8CB92BA72F3D8DD7)
 _RUNS = "c1 long, c2 long, id long, key long, at int, n int, body binary"
 _SEGMENTS = "anchor long, id long, key long, at int, body binary"
 _CLASSED = "body binary, runs array<struct<at: int, n: int, low: bigint>>, string binary, low long, times long, members array<struct<body: binary, at: int>>"
@@ -66,7 +72,7 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), shared.text_key(text).alias("key"), F.col(text).alias("text")).where("id is not null")
     gram = _gram(width)
     per_unit = 2 / (width - gram + 2)
-    sketch = context.broadcast(windows.repeated_cells(rows.select("text"), _split, width, gram, windows.sketch_bits(windows.total_bytes(rows, "text"), per_unit, 4)))
+    sketch = context.broadcast(windows.repeated_anchors(rows.select("text"), _split, width, gram, windows.sketch_bits(windows.total_bytes(rows, "text"), per_unit, 2)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +81,7 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 values = textnum.byte_values(d, 0)
                 p = windows.anchored(values, o, width, gram)
-                c = windows.chunks(p, sketch.value, CUT_EVERY)
+                c = windows.chunks(p, sketch.value, CUT_EVERY, windows.among_repeated)
                 if not len(c.lo):
                     continue
                 lo, hi = p.at[c.lo], p.at[c.hi - 1] + width
@@ -98,9 +104,9 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     later, own = placed.where("body is null").select("id", "key", "at", "n"), placed.where("body is not null").select("id", "key", "at", "body")
     shared.discard(found)
     shared.discard(holder)
-    again = context.broadcast(windows.repeated_cells(own.select("body"), _split, width, gram, windows.sketch_bits(windows.total_bytes(own, "body"), per_unit, 6)))
+    again = context.broadcast(windows.repeated_anchors(own.select("body"), _split, width, gram, windows.sketch_bits(windows.total_bytes(own, "body"), per_unit, 4)))
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textnum.buffers(batch["body"])
             for a, b in textnum.pieces(offsets):
@@ -108,7 +114,8 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 p = windows.anchored(textnum.byte_values(d, 0), o, width, gram)
                 head = np.flatnonzero(windows.changes(p))
                 tail = np.r_[head[1:], len(p.at)]
-                kept = windows.maybe_repeated(again.value, p.anchor[head])
+                kept = textnum.mix(p.anchor[head] ^ _TURN) % np.uint64(TURNS) == turn
+                kept[kept] = windows.among_repeated(again.value, p.anchor[head[kept]])
                 head, tail = head[kept], tail[kept]
                 if not len(head):
                     continue
@@ -120,10 +127,17 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                     ["anchor", "id", "key", "at", "body"],
                 )
 
-    places = shared.written(own.mapInArrow(segments, _SEGMENTS), "segments")
-    again.destroy()
     later = shared.written(later, "later")
+    for turn in range(TURNS):
+        places = shared.written(own.mapInArrow(partial(segments, turn=turn), _SEGMENTS), "segments")
+        later = later.unionAll(_later_places(places, width))
+    again.destroy()
     shared.discard(placed)
+    return later
+
+
+def _later_places(places: DataFrame, width: int) -> DataFrame:
+    """(id, key, at, n) of the segments' strings that have a smaller document; ``places`` is discarded."""
     # The bytes of a segment settle its anchor.
     kinds = shared.written(places.groupBy("anchor", "body").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")), "segment-kinds")
     blocks = max(1, -(-(kinds.agg(F.sum(F.octet_length("body") + 1)).first()[0] or 0) // BLOCK_BYTES))
@@ -182,7 +196,7 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     hit = shared.written(hit, "removed-strings")
     shared.discard(places)
     shared.discard(classed)
-    return later.unionAll(hit)
+    return hit
 
 
 def _cut(text: pa.Array, runs: pa.Array, width: int) -> pa.Array:
