@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.llm import bwt, components, embeddings, fingerprint, minhash, packing, quality, sentencepiece, substring, suffix, toxicity, urls, windows
+from tramline.llm import bwt, components, embeddings, fingerprint, minhash, packing, quality, sentencepiece, shared, substring, suffix, toxicity, urls, windows
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -294,6 +294,22 @@ def test_fingerprints(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_fingerprints_peel_in_short_plans(spark, monkeypatch):
+    # Every aggregate of a stage takes its memory before the first row is read.
+    plans, write = [], shared.written
+
+    def counted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("HashAggregate(keys"))
+        return write(df, name)
+
+    monkeypatch.setattr(shared, "written", counted)
+    sets = [[f"Line {k} of {'all' if k < 30 else i}." for k in range(30 + 13 * i)] for i in range(5)]
+    got = fingerprint.fingerprints(spark.createDataFrame([(i, "\n".join(s)) for i, s in enumerate(sets)], "doc_id bigint, text string")).collect()
+    following = [len(set(s) ^ set(sets[(i + 1) % 5])) for i, s in enumerate(sets)]
+    assert [r.d_next for r in sorted(got, key=lambda r: r.doc_id)] == following
+    assert max(plans) <= 12
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))

@@ -77,35 +77,54 @@ def _empty() -> Column:
     return (F.col("n") == 0) & (F.col("k") == 0) & (F.col("c") == 0)
 
 
-def _sweep_sql(view: str, sweeps: int) -> str:
-    """The steps of :func:`_peel` as one statement, which is analysed once."""
+def _sweep_sql(view: str) -> str:
+    """The three steps of one sweep as one statement, which is analysed once."""
     steps, before = [], view
-    for number, t in enumerate([0, 1, 2] * sweeps):
+    for t in range(3):
         single = f"cell >= {t} * third and cell < {t + 1} * third and abs(n) = 1 and c = xxhash64(k, 97)"
         out = ", ".join(f"struct(cast({u} * third + pmod(xxhash64(k, {u + 1}), third) as int) as cell, -n as n, k as k, c as c)" for u in range(3) if u != t)
         spread = f"if({single}, array(struct(-1 as cell, 1L as n, 0L as k, 0L as c), {out}), array(struct(cell as cell, n as n, k as k, c as c)))"
         each = f"select uid, pair, third, inline({spread}) from {before}"
-        steps.append(f"s{number} as (select uid, pair, third, cell, sum(n) as n, bit_xor(k) as k, bit_xor(c) as c from ({each}) group by uid, pair, third, cell having not (sum(n) = 0 and bit_xor(k) = 0 and bit_xor(c) = 0))")
-        before = f"s{number}"
-    found = "case when count_if(cell >= 0) = 0 then coalesce(sum(n) filter (where cell < 0), 0L) end"
-    return f"with {', '.join(steps)} select uid, pair, {found} as found from {before} group by uid, pair"
+        steps.append(f"s{t} as (select uid, pair, third, cell, sum(n) as n, bit_xor(k) as k, bit_xor(c) as c from ({each}) group by uid, pair, third, cell having not (sum(n) = 0 and bit_xor(k) = 0 and bit_xor(c) = 0))")
+        before = f"s{t}"
+    return f"with {', '.join(steps)} select * from {before}"
+
+
+def _swept(cells: DataFrame) -> DataFrame:
+    view = f"cells_{uuid.uuid4().hex}"
+    cells.createOrReplaceTempView(view)
+    try:
+        return cells.sparkSession.sql(_sweep_sql(view))
+    finally:
+        cells.sparkSession.catalog.dropTempView(view)
 
 
 def _peel(cells: DataFrame, sweeps: int) -> DataFrame:
-    """(uid, pair, found): digests recovered from each pair's cells(uid, pair,
-    third, cell, n, k, c); null where cells remain.
+    """What ``sweeps`` sweeps, or as many as take anything out, leave of the
+    pairs' cells(uid, pair, third, cell, n, k, c), dealt by uid; written.
 
     A sweep goes through the thirds.  The cells of one third that hold a
     single digest hold different ones; each is taken out of the other thirds,
     and counted in the pair's cell -1.  All grouping is by pair and cell, so
-    the steps follow each other without another shuffle.
+    the steps of a sweep follow each other without another shuffle.  Each sweep
+    is written: every step has hash tables, which a task makes all at once.
     """
-    view = f"cells_{uuid.uuid4().hex}"
-    cells.createOrReplaceTempView(view)
-    try:
-        return cells.sparkSession.sql(_sweep_sql(view, sweeps))
-    finally:
-        cells.sparkSession.catalog.dropTempView(view)
+    table, left = None, None
+    for _ in range(sweeps):
+        swept = shared.written(_swept(cells if table is None else table.repartition("uid")), "cells")
+        if table is not None:
+            shared.discard(table)
+        # A digest taken out leaves fewer cells.
+        table, before, left = swept, left, swept.where("cell >= 0").count()
+        if left in (0, before):
+            break
+    return table
+
+
+def _found(peeled: DataFrame) -> DataFrame:
+    """(uid, pair, d): digests recovered from each pair that has no cells left."""
+    found = peeled.groupBy("uid", "pair").agg(F.expr("count_if(cell >= 0) as cells"), F.expr("sum(n) filter (where cell < 0) as d"))
+    return found.where("cells = 0").select("uid", "pair", "d")
 
 
 def _estimated(own: Column, other: Column) -> Column:
@@ -136,11 +155,14 @@ def differences(pairs: DataFrame) -> DataFrame:
     same = F.forall("cells", lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0))
     known = pairs.where(same).select("uid", "pair", F.lit(0).cast("long").alias("d"))
     first = pairs.where(hopeful).select("uid", "pair", F.lit(THIRD).alias("third"), F.posexplode("cells").alias("cell", "x")).select("uid", "pair", "third", "cell", F.col("x.n").cast("long").alias("n"), "x.k", "x.c").where(~_empty())
-    solved = shared.written(_peel(first.repartition("uid"), FIRST_SWEEPS).where("found is not null").select("uid", "pair", F.col("found").alias("d")).unionAll(known), "peeled")
+    peeled = _peel(first.repartition("uid"), FIRST_SWEEPS)
+    solved = shared.written(_found(peeled).unionAll(known), "peeled")
+    shared.discard(peeled)
     rest = pairs.select("uid", "pair", "own", "other", _estimated(F.col("own"), F.col("other")).alias("differ")).join(solved, ["uid", "pair"], "left_anti")
     for load in LOADS:
         peeled = _peel(_tables(rest.repartition("uid"), load), SWEEPS)
-        got = shared.written(peeled.where("found is not null").select("uid", "pair", F.col("found").alias("d")), "peeled")
+        got = shared.written(_found(peeled), "peeled")
+        shared.discard(peeled)
         solved, rest = solved.unionAll(got), rest.join(got, ["uid", "pair"], "left_anti")
     # Digests that no table could part: compared directly.
     plain = (F.size(F.array_except("own", "other")) + F.size(F.array_except("other", "own"))).cast("long")
