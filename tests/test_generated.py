@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tramline.functions import text, times
-from tramline.operators import trips
+from tramline.operators import fields, trips
 from tramline.plans.star import star_feed
 
 STAR = "/root/testdata/sf0.001"
@@ -53,3 +53,9 @@ def test_trimming_and_reading_as_the_format_says(spark):
     floats = {"inf": "Infinity", "-Infinity": "-Infinity", "+nan": "NaN", "-NaN": "NaN", "1e400": "Infinity", "1.": "1.0", "1d": None, "+.5e1": "5.0", ".": None}
     got = spark.createDataFrame([(v,) for v in floats], "v string")
     assert {r.v: r.s for r in got.select("v", text.as_float(got.v).cast("string").alias("s")).collect()} == floats
+
+
+def test_field_rules_are_compiled(spark, compiled):
+    for name in ("trips.txt", "stop_times.txt"):
+        (found,) = fields.field_notices(star_feed(spark, STAR, name), name)
+        assert 0 < largest(compiled(found, "codegen")) < 8000
