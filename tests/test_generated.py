@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tramline.functions import text, times
-from tramline.operators import fields, trips
+from tramline.operators import conditional, fields, trips
 from tramline.plans.star import star_feed
 
 STAR = "/root/testdata/sf0.001"
@@ -59,3 +59,8 @@ def test_field_rules_are_compiled(spark, compiled):
     for name in ("trips.txt", "stop_times.txt"):
         (found,) = fields.field_notices(star_feed(spark, STAR, name), name)
         assert 0 < largest(compiled(found, "codegen")) < 8000
+
+
+def test_range_rules_read_each_time_once(spark, compiled):
+    (found,) = conditional.ranges(star_feed(spark, STAR, "frequencies.txt"))
+    assert compiled(found, "simple").count("RLIKE") == 2
